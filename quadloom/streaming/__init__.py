@@ -1,0 +1 @@
+"""quadloom.streaming"""
