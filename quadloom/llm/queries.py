@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import exact, mixing, repetition, sharding
+from quadloom.llm import exact, mixing, neardup, repetition, sharding
 
 SHARDS = 24
 
@@ -43,7 +43,11 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sainte_lague_mix, op3_exact_dedup, op5_external_shuffle, op7_repetition_rules)}
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_sainte_lague_mix, op3_exact_dedup, op5_external_shuffle, op7_repetition_rules, op10_hyperminhash)}
 
 ORACLES = {
     "op3_exact_dedup": """
