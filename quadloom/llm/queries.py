@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import exact, mixing, neardup, repetition, sharding
+from quadloom.llm import exact, mixing, neardup, packing, repetition, sharding
+from quadloom.plans.scratch import materialize
 
 SHARDS = 24
 
@@ -24,6 +25,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_read(spark, sf_dir), tokenizer_path())
+    cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(cut)
+
+
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir)
     rows = sharding.write_shards(docs, shards=SHARDS)
@@ -47,7 +60,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sainte_lague_mix, op3_exact_dedup, op5_external_shuffle, op7_repetition_rules, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op2_sainte_lague_mix, op3_exact_dedup, op4_sum_of_squares_packing, op5_external_shuffle, op7_repetition_rules, op10_hyperminhash)}
 
 ORACLES = {
     "op3_exact_dedup": """
