@@ -74,12 +74,15 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tu
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; no word crosses a row."""
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that ``gap`` doesn't mark; no run crosses a row.
+
+    With the default gap these are the words ``[^\\x20\\x09-\\x0D]+``.
+    """
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = SPACE[buf]
+    space = gap[buf]
     before = np.empty(len(buf), bool)
     before[0] = True
     before[1:] = space[:-1]

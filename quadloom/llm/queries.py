@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import exact, mixing, neardup, packing, repetition, sharding
+from quadloom.functions.frames import pick
+from quadloom.llm import crf, exact, mixing, neardup, packing, repetition, sharding, toxicity
+from quadloom.llm.samples import fold
 from quadloom.plans.scratch import materialize
 
 SHARDS = 24
@@ -15,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    rows = toxicity.toxic_sentences(docs, model)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_read(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -56,11 +67,31 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_read(spark, sf_dir))
 
 
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    model = crf.train(docs, _read(spark, sf_dir, "labels"))
+    rows = crf.score_quality(pick(docs, "doc_id", "text"), model)
+    held_out = fold(F.col("doc_id"), 3) == 1
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sainte_lague_mix, op3_exact_dedup, op4_sum_of_squares_packing, op5_external_shuffle, op7_repetition_rules, op10_hyperminhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_noisy_or_toxicity,
+        op2_sainte_lague_mix,
+        op3_exact_dedup,
+        op4_sum_of_squares_packing,
+        op5_external_shuffle,
+        op7_repetition_rules,
+        op8_line_crf_quality,
+        op10_hyperminhash,
+    )
+}
 
 ORACLES = {
     "op3_exact_dedup": """
