@@ -105,3 +105,11 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str = "0"
     digests = digests_of(docs, normalize)
     index.add(digests, batch)
     return judge(digests, index, batch)
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, one of each text, with all their columns."""
+    kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    d = docs.withColumn("_own", text_digest(F.col("text"), options.get("normalize")))
+    d = d.join(kept.hint("merge"), d.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    return d.dropDuplicates(["doc_id", "_own"]).drop("_own")

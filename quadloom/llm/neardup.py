@@ -314,3 +314,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionAll(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id stands for its component, with all their columns."""
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.frames import pick
-from quadloom.llm import crf, exact, mixing, neardup, packing, repetition, sharding, toxicity
+from quadloom.llm import crf, exact, language, linedup, mixing, neardup, packing, repetition, sharding, toxicity
 from quadloom.llm.samples import fold
 from quadloom.plans.scratch import materialize
 
@@ -63,6 +63,11 @@ def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linedup.drop_common_blocks(_read(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "removed_lines", "removed_words", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_read(spark, sf_dir))
 
@@ -75,6 +80,13 @@ def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    rows = language.languages(docs, language.train(docs))
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir))
 
@@ -87,8 +99,10 @@ QUERIES = {
         op3_exact_dedup,
         op4_sum_of_squares_packing,
         op5_external_shuffle,
+        op6_patience_line_dedup,
         op7_repetition_rules,
         op8_line_crf_quality,
+        op9_viterbi_language,
         op10_hyperminhash,
     )
 }
