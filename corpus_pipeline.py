@@ -1,13 +1,61 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: filter, deduplicate, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept.  All but the last return the columns of ``documents``; the last returns
+the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quadloom.llm import crf, exact, mixing, neardup, packing
+from quadloom.llm.queries import tokenizer_path
 from quadloom.plans.scratch import materialize
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_QUALITY = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model does not reject."""
+    model = crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return crf.score_quality(docs.select(*COLUMNS), model, into="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest doc_id."""
+    return exact.keep_one(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    return neardup.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words the mix takes: a row for each repeat of a document, cut where a block ends."""
+    rows = mixing.mix(docs).drop("mix_repeat")
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in sequences of 4096 tokens; ids by checksum."""
+    cut = packing.pieces(docs, tokenizer_path())
+    cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(cut)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("mixing", mixture),
+    ("packing", packed),
+]
 
+#: SQL can express neither the trained classifier nor the sketches and packing.
 ORACLE_SQL = None
 
 
@@ -15,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
