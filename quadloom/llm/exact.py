@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions.frames import pick
@@ -88,14 +88,11 @@ def judge(digests: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     index had not seen before this batch.
     """
     owners = index.owners().withColumn("_fresh", F.col("batch") == batch).drop("batch")
-    d = digests.join(owners.hint("merge"), "digest")
+    rows = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("_rows"))
+    d = rows.join(owners.hint("merge"), "digest")
     best = F.col("_fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # only equal rows with the best doc_id compete; others have the row's own number as a key
-    d = d.withColumn("_best", best)
-    first = d.filter("_best").withColumn("_n", F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("keep_id")))
-    others = d.filter("not _best")
-    columns = ["doc_id", "digest", "keep_id", "group_size"]
-    return first.select(*columns, (F.col("_n") == 1).alias("kept")).unionAll(others.select(*columns, F.lit(False).alias("kept")))
+    d = d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    return d.select("doc_id", "digest", "keep_id", "group_size", (best & (F.col("_n") == 1)).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str = "0", normalize=None, buckets: int = 64) -> DataFrame:
