@@ -7,12 +7,13 @@ registers make a band of 64 bits.
 
 1. One scan makes sketches; equal sets (count and 128-bit sum) become one class.
 2. Texts that share a band are candidates.  A band's texts are not paired with
-   each other: each text is compared with the band's smallest id, by the
-   collision-corrected estimate, and its best estimate is verified on full sets.
+   each other: each text is compared with the band's hub, by the collision-corrected
+   estimate, and its best estimate is verified on full sets.
 3. Where a band still holds texts of several components, the pairs across them
    are estimated too, in blocks of bounded size and only between sets whose
-   sizes allow the threshold.  So no link is lost to step 2, whatever the size
-   of a band.
+   sizes allow the threshold.  A text with such an estimate is then compared, on
+   full sets, with all texts of the other component, again in blocks.  So no
+   link between components is lost to step 2, whatever the size of a band.
 4. Verified links give connected components.
 
 With 32 bands a pair at the threshold shares none with probability below 1e-5.
@@ -145,7 +146,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(band, rep) for each band with a filled register."""
+    """(band, at, rep) for each band with a filled register; ``at`` is its place in the sketch."""
     n = REGISTERS // ROWS_PER_BAND
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +157,25 @@ def bands(reps: DataFrame) -> DataFrame:
             full = keys != U64(0xFFFFFFFFFFFFFFFF)
             mixed = B.mix64(B.mix64(keys) + np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
             ids = np.repeat(batch.column("rep").to_numpy(), n).reshape(-1, n)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed[full].view(np.int64)), pa.array(ids[full])], ["band", "rep"])
+            at = np.broadcast_to(np.arange(n, dtype=np.int8), full.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed[full].view(np.int64)), pa.array(at[full]), pa.array(ids[full])], ["band", "at", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(scan, "band long, rep long")
+    return reps.select("rep", "regs").mapInArrow(scan, "band long, at byte, rep long")
+
+
+def shared_bands(band: DataFrame) -> DataFrame:
+    """(band, at, rep, hub) of the bands that several texts have.
+
+    A band's hub is its text with the most company over all of its own bands: of
+    a group of copies that is likely the text they were made from, which is
+    nearer to each of them than they are to each other.
+    """
+    sizes = band.groupBy("band").agg(F.count("*").alias("_size")).filter("_size > 1")
+    members = materialize(band.join(sizes, "band"), "shared-bands")
+    company = members.groupBy("rep").agg(F.sum("_size").alias("_company"))
+    ranked = members.drop("_size").join(company, "rep")
+    hubs = ranked.groupBy("band").agg(F.max_by("rep", F.struct("_company", -F.col("rep"))).alias("hub"))
+    return materialize(members.drop("_size").join(hubs, "band"), "members")
 
 
 def estimate(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -174,9 +191,16 @@ def estimate(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray)
     return np.clip((raw - chance) / (1 - chance), 0, 1)
 
 
-def floor_of(threshold: float, filled: np.ndarray) -> np.ndarray:
-    """The least estimate that is verified: SLACK deviations below ``threshold``."""
-    return threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
+def floor_of(threshold: float, filled: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The least estimate that is verified: SLACK deviations below ``threshold``.
+
+    The filled registers are a sample without replacement of the sets' union, so
+    for small sets, most of which is in the sketch, the deviation is small.
+    """
+    union = np.maximum((n + m) / (1 + threshold), 2)
+    unseen = np.clip((union - filled) / (union - 1), 0, 1)
+    # one register more or less is always possible where the union is not known exactly
+    return threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1) * unseen) - 1 / np.maximum(filled, 1)
 
 
 def _compare(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +209,11 @@ def _compare(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, thresho
     filled = ((x != EMPTY) | (y != EMPTY)).sum(-1)
     est = estimate(same, filled, n, m)
     sized = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-    return est, (est >= floor_of(threshold, filled)) & sized
+    return est, (est >= floor_of(threshold, filled, n, m)) & sized
 
 
 def star_candidates(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """For each rep its best-estimated partner among the smallest ids of its bands."""
+    """For each rep its best-estimated partner among the hubs of its bands."""
     r = reps.select("rep", "n_shingles", "regs")
     pairs = members.filter("rep <> hub").select("hub", "rep").distinct()
     pairs = pairs.join(r.toDF("rep", "n", "regs"), "rep").join(r.toDF("hub", "m", "hub_regs"), "hub")
@@ -205,66 +229,134 @@ def star_candidates(members: DataFrame, reps: DataFrame, threshold: float) -> Da
     return found.groupBy("rep").agg(best.alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each ``key`` of a partition that is sorted by it; holds one key's rows at a time."""
+    held: list[pa.RecordBatch] = []  # rows of the key that the last batch left open
+
+    def results(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key = t.column("key").to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        found = [work(t.slice(i, j - i)) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (held and held[-1].column("key")[0].as_py() != key[-1]):
+            yield from results([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from results(held)
+
+
 def cross_candidates(members: DataFrame, reps: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components inside a band, by estimate, in blocks."""
-    labelled = members.select("band", "rep").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+    """(rep, component): a text and another component that may have a text near it.
+
+    Estimates every pair of texts that share a band but no component, once: in
+    the first band they share.  Of the two components the text of the smaller one
+    is named, so a large group and those beside it make a row for each of these.
+    """
+    sizes = component.groupBy("component").agg(F.count("*").alias("_nodes"))
+    known = component.join(sizes, "component").select(F.col("node").alias("rep"), "component", "_nodes")
+    labelled = members.select("band", "at", "rep").join(known, "rep", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "rep")).withColumn("nodes", F.coalesce("_nodes", F.lit(1)).cast("long"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("band")
     rows = labelled.join(mixed, "band").join(reps.select("rep", "n_shingles"), "rep")
     # two sets can reach the threshold only within one step of size; each goes to its own class and the next
-    size_class = F.floor(F.log("n_shingles") / math.log(1 / threshold)).cast("int")
-    rows = rows.withColumn("size_class", F.explode(F.array(size_class, size_class + 1)))
+    rows = rows.withColumn("own_class", F.floor(F.log("n_shingles") / math.log(1 / threshold) + 1e-9).cast("int"))
+    rows = rows.withColumn("size_class", F.explode(F.array("own_class", F.col("own_class") + 1)))
     group = rows.groupBy("band", "size_class").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
     rows = rows.join(group.select("band", "size_class", F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts")), ["band", "size_class"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("_other", other).withColumn("left_part", F.least("part", "_other")).withColumn("right_part", F.greatest("part", "_other"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("left_part", F.least("part", "_other")).withColumn("right_part", F.greatest("part", "_other"))
     rows = rows.join(reps.select("rep", "regs"), "rep")
     key = F.xxhash64("band", "size_class", "left_part", "right_part")
-    rows = rows.select(key.alias("key"), "rep", "component", F.col("n_shingles").alias("n"), (F.col("part") == F.col("left_part")).alias("in_left"), (F.col("part") == F.col("right_part")).alias("in_right"), "regs")
+    sides = [(F.col("part") == F.col("left_part")).alias("in_left"), (F.col("part") == F.col("right_part")).alias("in_right")]
+    rows = rows.select(key.alias("key"), "at", "size_class", "own_class", "rep", "component", "nodes", F.col("n_shingles").alias("n"), *sides, "regs")
     rows = rows.repartition("key").sortWithinPartitions("key")
 
-    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "component", "n"))
+    def near(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rep, comp, nodes, n, own = (t.column(c).to_numpy() for c in ("rep", "component", "nodes", "n", "own_class"))
         if comp.min() == comp.max():
             return rep[:0], rep[:0]
         regs = _matrix(t.column("regs"))
-        left = np.flatnonzero(t.column("in_left").to_numpy())
-        right = np.flatnonzero(t.column("in_right").to_numpy())
-        a, b = [], []
-        for i in left:
-            at = right[comp[right] != comp[i]]
-            _, ok = _compare(regs[i], regs[at], n[i], n[at], threshold)
-            hit = at[ok]
-            a.append(np.minimum(rep[i], rep[hit]))
-            b.append(np.maximum(rep[i], rep[hit]))
-        return np.concatenate(a), np.concatenate(b)
+        keys = regs.view(U64)
+        band, size_class = t.column("at")[0].as_py(), t.column("size_class")[0].as_py()
+        in_left, in_right = t.column("in_left").to_numpy(), t.column("in_right").to_numpy()
+        both = in_left & in_right
+        found = set()
+        for i in np.flatnonzero(in_left):
+            # each pair once: in the larger of its classes, and in the first band that both share
+            at = in_right & (comp != comp[i]) & (np.maximum(own, own[i]) == size_class)
+            if both[i]:
+                at[: i + 1] &= ~both[: i + 1]
+            at = np.flatnonzero(at)
+            if not len(at):
+                continue
+            if band:
+                early = keys[i, :band]
+                at = at[~((keys[at, :band] == early) & (early != U64(0xFFFFFFFFFFFFFFFF))).any(1)]
+            at = at[_compare(regs[i], regs[at], n[i], n[at], threshold)[1]]
+            mine = (nodes[i] < nodes[at]) | ((nodes[i] == nodes[at]) & (comp[i] > comp[at]))
+            found.update((rep[i], c) for c in set(comp[at[mine]].tolist()))
+            found.update((r, comp[i]) for r in rep[at[~mine]].tolist())
+        return np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the group that the last batch left open
+    return rows.mapInArrow(lambda batches: _runs(batches, near), "a long, b long").distinct().toDF("rep", "component")
 
-        def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = t.column("key").to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            found = [pairs_of(t.slice(i, j - i)) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if held and (cut or held[-1].column("key")[0].as_py() != key[-1]):
-                yield from groups(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-                held = []
-            elif cut:
-                yield from groups(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield from groups(pa.Table.from_batches(held).combine_chunks())
+def cross_links(candidates: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each (rep, component) of ``candidates`` one link of the text into the component, if full sets have any.
+
+    The component's texts and those to be compared with it meet in blocks of
+    bounded size; one pass over a block counts a text's common shingles with all
+    of the block's texts.
+    """
+    c = materialize(candidates.toDF("x", "c"), "across")
+    nodes = component.select(F.col("node").alias("y"), F.col("component").alias("c"))
+    # a text without a link is its own component
+    alone = c.select("c").distinct().join(nodes.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("y"), "c")
+    nodes = nodes.unionAll(alone)
+    of_x = c.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x_parts"))
+    of_y = nodes.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("y_parts"))
+    parts = of_x.join(of_y, "c")
+    part = lambda v, n: F.pmod(F.xxhash64(v), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = c.join(parts, "c").withColumn("i", part("x", "x_parts")).withColumn("j", every("y_parts")).select("c", "i", "j", F.col("x").alias("id"), F.lit(True).alias("is_x"))
+    ys = nodes.join(parts, "c").withColumn("j", part("y", "y_parts")).withColumn("i", every("x_parts")).select("c", "i", "j", F.col("y").alias("id"), F.lit(False).alias("is_x"))
+    rows = xs.unionAll(ys).join(sets.toDF("id", "set"), "id")
+    rows = rows.select(F.xxhash64("c", "i", "j").alias("key"), "id", "is_x", "set").repartition("key").sortWithinPartitions("key")
+
+    def links(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, is_x = t.column("id").to_numpy(), t.column("is_x").to_numpy()
+        parts = [np.frombuffer(x.as_buffer(), U64) for x in t.column("set").combine_chunks()]
+        of = np.flatnonzero(~is_x)
+        if not len(of) or not is_x.any():
+            return ids[:0], ids[:0]
+        size = np.array([len(parts[k]) for k in of])
+        hashes, owner = np.concatenate([parts[k] for k in of]), np.repeat(np.arange(len(of)), size)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(is_x):
+            lo, hi = np.searchsorted(hashes, parts[k]), np.searchsorted(hashes, parts[k], "right")
+            many = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            common = np.bincount(owner[at], minlength=len(of))
+            union = len(parts[k]) + size - common
+            best = int(np.argmax(common / union))
+            if 100 * common[best] >= percent * union[best]:
+                a.append(min(ids[k], ids[of[best]]))
+                b.append(max(ids[k], ids[of[best]]))
+        return np.array(a, np.int64), np.array(b, np.int64)
 
-    return rows.mapInArrow(scan, "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: _runs(batches, links), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -298,15 +390,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     filled = rows.filter("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"))
     reps = materialize(reps, "classes")
-    band = bands(reps)
-    hubs = band.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).filter("hub < _top").drop("_top")
-    members = materialize(band.join(hubs, "band"), "members")
+    members = shared_bands(bands(reps))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(shingle_sets(d.join(wanted, "doc_id", "left_semi"), k), "sets").dropDuplicates(["doc_id"])
     links = materialize(verified(star_candidates(members, reps, threshold), sets, percent), "links")
     first = materialize(connected_components(links), "components")
-    more = materialize(cross_candidates(members, reps, first, threshold), "across")
-    links = links.unionAll(materialize(verified(more, sets, percent), "links"))
+    more = cross_links(cross_candidates(members, reps, first, threshold), first, sets, percent)
+    links = links.select("a", "b").unionAll(materialize(more, "links"))
     component = connected_components(links)
     classes = reps.drop("regs").join(component, F.col("rep") == F.col("node"), "left")
     classes = classes.select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("_component"))
