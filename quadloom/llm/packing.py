@@ -14,6 +14,7 @@ carried by ``pack`` (those named sequence_id or offset give way).
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 
 from quadloom.functions.frames import pick
 
-#: Words whose ids a worker remembers before it starts anew.
-CACHE = 600_000
+#: Words, and their parts, whose ids a worker remembers before it starts anew.
+WORDS, PARTS = 700_000, 700_000
+#: Marks that may end a word; a run of them is a part of its own to the tokenizer.
+TAIL = b".,;:!?%$&*#|"
 
 
 #: Stands between words that are encoded together; a word that holds it is encoded alone.
@@ -37,11 +40,13 @@ TOGETHER = 2000
 
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    # tasks are the parallel unit; threads inside one would contend for its core
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t, {}
+    return t, {}, {}
 
 
 def _learn(words: list[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
@@ -61,19 +66,38 @@ def _learn(words: list[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
             known[w] = code[i:j]
 
 
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """The word in lower case as letters and the marks after them, if it is that; else the word and nothing.
+
+    The tokenizer lower-cases, and never joins a letter with a mark, so the ids
+    of the parts in order are those of the word.
+    """
+    low = word.lower()
+    core = low.rstrip(TAIL)
+    if core.isalpha() or not core or (not core.isascii() and core.decode().isalpha()):
+        return core, low[len(core) :]
+    return word, b""
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
     The tokenizer drops white space, so no token crosses it and a text's ids are
-    those of its words in order; each new word is encoded once.
+    those of its words in order; each new word is looked up once, and each new
+    part of one is encoded once.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE:
+    tokenizer, known, parts = _tokenizer(path)
+    if len(known) > WORDS:
         known.clear()
+    if len(parts) > PARTS:
+        parts.clear()
     split = [t.split() for t in texts]
     new = [w for w in set(chain.from_iterable(split)) if w not in known]
     if new:
-        _learn(new, tokenizer, known)
+        cut = [_parts(w) for w in new]
+        parts[b""] = b""
+        _learn([w for w in set(chain.from_iterable(cut)) if w not in parts], tokenizer, parts)
+        known.update(zip(new, [parts[core] + parts[tail] if tail else parts[core] for core, tail in cut], strict=True))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
