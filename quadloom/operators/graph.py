@@ -20,6 +20,10 @@ from quadloom.operators.identity import canonical_labels
 from quadloom.plans.scratch import materialize
 
 
+#: Up to so many properties become constants of the plan, so that a filter on one predicate prunes the rest.
+INLINE = 1000
+
+
 def canonicalize(df: DataFrame, canon: DataFrame, **columns: str) -> DataFrame:
     """``df`` with new columns, each the canonical label of the column it names."""
     for new, old in columns.items():
@@ -54,8 +58,12 @@ def _masked(quads: DataFrame, mask: Iterable[str] | None, mode: str, canon: Data
     spark = quads.sparkSession
     wanted = canonicalize(spark.createDataFrame([(n,) for n in names], "p string"), canon, c="p").select("c")
     wanted = wanted.unionAll(wanted.join(inverse, wanted.c == inverse.p).select("inv")).distinct()
-    used = canonicalize(quads.select("p").distinct(), canon, c="p").join(wanted, "c", "left_semi").select("p")
-    return quads.join(used, "p", "left_semi"), quads.join(used, "p", "left_anti")
+    accepted = wanted.unionAll(canon.join(wanted, canon.canonical == wanted.c, "left_semi").select("label")).toDF("p")
+    few = accepted.limit(INLINE + 1).collect()
+    if len(few) <= INLINE:
+        test = F.col("p").isin([r.p for r in few]) if few else F.lit(False)
+        return quads.filter(test), quads.filter(~test)
+    return quads.join(accepted, "p", "left_semi"), quads.join(accepted, "p", "left_anti")
 
 
 @dataclasses.dataclass
@@ -137,14 +145,10 @@ def _regular(kept: DataFrame, canon: DataFrame) -> DataFrame:
     return r.select("s_c", "p_c", "o_c", F.col("s").alias("s_l"), F.col("p").alias("p_l"), F.col("o").alias("o_l"), F.lit(REGULAR).cast("tinyint").alias("role"), "graph", (F.col("ord") * 2).alias("tid"))
 
 
-#: Up to so many inverse properties become constants of the plan, so that a filter on one predicate prunes the rest.
-INLINE_INVERSES = 1000
-
-
 def _inferred(regular: DataFrame, inverse: DataFrame) -> DataFrame:
     """The inverse triples of ``regular``: canonical ends swapped, written labels kept."""
-    rows = inverse.limit(INLINE_INVERSES + 1).collect()
-    if len(rows) <= INLINE_INVERSES:
+    rows = inverse.limit(INLINE + 1).collect()
+    if len(rows) <= INLINE:
         named = F.lit(None).cast("string")
         for r in rows:
             named = F.when(F.col("p_c") == r.p, F.lit(r.inv)).otherwise(named)

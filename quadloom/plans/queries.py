@@ -28,7 +28,7 @@ def _graph(spark: SparkSession, sf_dir: str, *tables: str, **options) -> Graph:
 def _customers(spark: SparkSession, sf_dir: str, **options) -> tuple[Graph, entities.BundleTables]:
     pb = customer_schema()
     # the mask as a user would set it: both directions of the inverse
-    g = _graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER, masks=pb.masks(RDF_TYPE), mask_mode="closed", **options)
+    g = _graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER, masks=pb.masks(RDF_TYPE), mask_mode="closed", persist=True, **options)
     return g, entities.extract(g, pb.bundle("customer"))
 
 
@@ -144,7 +144,7 @@ def entity_all_triples(spark, sf_dir):
 
 def entity_ntriples(spark, sf_dir):
     pb = customer_schema()
-    g = _graph(spark, sf_dir, "nation", "customer")
+    g = _graph(spark, sf_dir, "nation", "customer", persist=True)
     t = entities.extract(g, pb.bundle("customer"))
     t.children.clear()
     return export.ntriples(entities.all_triples(g, t)).select("uri", "line")
@@ -152,7 +152,7 @@ def entity_ntriples(spark, sf_dir):
 
 def entity_turtle(spark, sf_dir):
     pb = customer_schema()
-    g = _graph(spark, sf_dir, "nation", "customer")
+    g = _graph(spark, sf_dir, "nation", "customer", persist=True)
     t = entities.extract(g, pb.bundle("customer"))
     t.children.clear()
     return export.turtle(entities.all_triples(g, t))
@@ -160,7 +160,7 @@ def entity_turtle(spark, sf_dir):
 
 def entity_json(spark, sf_dir):
     pb = customer_schema()
-    t = entities.extract(_graph(spark, sf_dir, "nation", "customer"), pb.bundle("customer"))
+    t = entities.extract(_graph(spark, sf_dir, "nation", "customer", persist=True), pb.bundle("customer"))
     j = export.json_rows(t)
     return j.select("uri", F.get_json_object("json", "$.field__cname[0].value").alias("name"), F.get_json_object("json", "$.field__nation[0].value").alias("nation"))
 
@@ -224,7 +224,7 @@ def url_replace(spark, sf_dir):
 
 def graph_view(spark, sf_dir):
     pb = customer_schema()
-    g = _graph(spark, sf_dir, "nation", "customer")
+    g = _graph(spark, sf_dir, "nation", "customer", persist=True)
     t = entities.extract(g, pb.bundle("customer"))
     t.children.clear()
     v = export.graph_view(entities.all_triples(g, t))
