@@ -20,3 +20,25 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
         raise KeyError(f"missing columns {missing}; there are {df.columns}")
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
+
+
+def carry(df: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without columns that clash with what an operator needs or adds.
+
+    The needed columns are those of the exact name (the first of several); any
+    other column that has, but for case, the name of a needed, an added or an
+    earlier column is left out.  The order stays.
+    """
+    missing = [n for n in needed if n not in df.columns]
+    if missing:
+        raise KeyError(f"missing columns {missing}; there are {df.columns}")
+    taken = {n.lower() for n in (*needed, *added)}
+    keep = []
+    for i, c in enumerate(df.columns):
+        if c in needed and df.columns.index(c) == i:
+            keep.append((i, c))
+        elif c.lower() not in taken:
+            taken.add(c.lower())
+            keep.append((i, c))
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"_c{i}").alias(c) for i, c in keep])
