@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
 from quadloom.llm import bytescan as B
 from quadloom.llm.samples import labelled_sample
 
@@ -256,8 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` plus the quality in column ``into``; a column of that name gives way."""
-    kept = docs.drop(into)
+    """``docs`` plus the quality in column ``into``; columns that clash, but for case, give way."""
+    kept = carry(docs, (text,), (into,))
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ two sides are both shuffled, so adaptive execution splits a hot digest.
 
 Defined cases: a null text counts as the empty text; null doc_id sorts below
 every other; of equal rows (same doc_id and text) exactly one is kept; an empty
-batch appends nothing; columns other than doc_id and text are ignored.
+batch appends nothing; other columns are ignored, or carried
+by ``keep_one`` unless they clash, but for case, with a needed one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
 from quadloom.plans.scratch import materialize, scratch_path
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint, batch string"
@@ -107,6 +108,7 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str = "0"
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, one of each text, with all their columns."""
     kept = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    docs = carry(docs, ("doc_id", "text"), ("_own", "_id", "_digest"))
     d = docs.withColumn("_own", text_digest(F.col("text"), options.get("normalize")))
     d = d.join(kept.hint("merge"), d.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
     return d.dropDuplicates(["doc_id", "_own"]).drop("_own")

@@ -16,7 +16,7 @@ Defined cases: null source is a source of its own, last in order; null or empty
 text has size 0 and takes nothing; a source without words has target 0; an
 empty table gives an empty result; repeated rows are documents of their own;
 other columns of the input are ignored by ``plan_mix`` and kept by ``mix``
-(columns named like an added one give way to it).
+(columns named, but for case, like a needed or an added one give way).
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
 from quadloom.plans.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Multiplies block numbers in the seeded permutation; a prime above any number of blocks in a source.
 PRIME = 2147483647
+#: Columns of ``mix``, of which the first stays.
+ADDED = ("mix_repeat", "row_key_a", "row_key_b", "_a", "_b", "_n", "_at", "_size", "_spans", "_mine", "_tokens")
 RANGES = 12  # bits of the hash that name a range
 
 
@@ -83,7 +85,7 @@ def block_quotas(targets: DataFrame, shards: int, blocks: int, max_repeat: int)
     t = t.withColumn("_seats", F.round(F.col("_sum") / F.col("block")).cast("long"))
     t = t.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     t = t.withColumn("_house", F.floor(F.col("_seats") * (F.col("shard") + 1) / shards).cast("long"))
-    base = F.floor(F.col("target") * F.col("_house") / F.col("_sum") + 0.5).cast("long")
+    base = F.floor(F.try_divide(F.col("target") * F.col("_house"), F.col("_sum")) + 0.5).cast("long")
     t = t.withColumn("_base", F.coalesce(base, F.lit(0).cast("long")))
     t = t.withColumn("_miss", F.col("_house") - F.sum("_base").over(Window.partitionBy("shard")))
     step = F.when(F.col("_miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs("_miss")))
@@ -161,11 +163,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     spans are cut with the white space after each word and joined in order.
     Rows are found again by a 128-bit hash of doc_id and text.
     """
+    docs = carry(docs, ("doc_id", "text", "source"), ADDED)
     plan = plan_mix(docs, **options)
     plan = plan.groupBy("row_key_a", "row_key_b").agg(F.first("size").alias("_size"), F.collect_list("spans").alias("_lists"))
     plan = plan.select(F.col("row_key_a").alias("_a"), F.col("row_key_b").alias("_b"), "_size", F.posexplode("_lists").alias("_at", "_spans"))
     plan = plan.filter(F.size("_spans") > 0)
-    kept = [c for c in docs.columns if c != "mix_repeat"]
+    kept = docs.columns
     d = docs.select(*kept, *row_key())
     # equal rows take the plans of their kind in turn; the subtraction keeps the number out of the join's keys
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("row_key_a", "row_key_b").orderBy("row_key_a")) - 1)

@@ -14,7 +14,8 @@ one beats it.
 Defined cases: null doc_id is a key like any other; null text adds no bytes;
 an empty table makes no rows; repeated rows are all kept, and since rows of one
 doc_id belong to one shard by the law, they are dealt over its buckets by text;
-columns named like an added one (shard, bucket, slot) give way to it.
+columns named, but for case, like a needed or an added one (shard, bucket, slot)
+give way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.functions.frames import carry
 from quadloom.plans.scratch import scratch_path
 
 ADDED = ("shard", "bucket", "slot")
@@ -49,7 +51,7 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: in
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes are 1 or more")
-    docs = docs.drop(*ADDED)
+    docs = carry(docs, ("doc_id", "text"), (*ADDED, "_h", "_tie"))
     per_shard = max(1, math.ceil(input_bytes(docs) / shards / bucket_bytes))
     keys = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(per_shard)).cast("int")
