@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 #: The white space between words: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)

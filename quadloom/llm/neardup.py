@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
 from quadloom.llm import bytescan as B
 from quadloom.operators.components import connected_components
 from quadloom.plans.scratch import materialize
@@ -46,8 +46,8 @@ EMPTY = np.uint16(0xFFFF)
 U64 = np.uint64
 #: Standard deviations below the threshold at which an estimate is still verified.
 SLACK = 4.5
-#: Rows of one block of a band in step 3.
-BLOCK = 1024
+#: Rows of one block in step 3: of a band's sketches, and of full sets on either side.
+BLOCK, SETS = 1024, 512
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +323,8 @@ def cross_links(candidates: DataFrame, component: DataFrame, sets: DataFrame, pe
     # a text without a link is its own component
     alone = c.select("c").distinct().join(nodes.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("y"), "c")
     nodes = nodes.unionAll(alone)
-    of_x = c.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x_parts"))
-    of_y = nodes.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("y_parts"))
+    of_x = c.groupBy("c").agg(F.ceil(F.count("*") / SETS).cast("int").alias("x_parts"))
+    of_y = nodes.groupBy("c").agg(F.ceil(F.count("*") / SETS).cast("int").alias("y_parts"))
     parts = of_x.join(of_y, "c")
     part = lambda v, n: F.pmod(F.xxhash64(v), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -408,5 +408,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its component, with all their columns."""
+    docs = carry(docs, ("doc_id", "text"), ("_id",))
     kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
