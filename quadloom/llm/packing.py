@@ -16,89 +16,199 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
+from quadloom.llm import bytescan as B
 
-#: Words, and their parts, whose ids a worker remembers before it starts anew.
-WORDS, PARTS = 700_000, 700_000
+#: Parts of words whose ids a worker remembers before it starts anew.
+PARTS = 1_000_000
 #: Marks that may end a word; a run of them is a part of its own to the tokenizer.
-TAIL = b".,;:!?%$&*#|"
-
-
-#: Stands between words that are encoded together; a word that holds it is encoded alone.
+TAIL = np.zeros(256, bool)
+TAIL[list(b".,;:!?%$&*#|")] = True
+#: ASCII bytes that are no letters: a word with one before its tail is not cut.
+ODD = np.ones(256, bool)
+ODD[list(b"abcdefghijklmnopqrstuvwxyz")] = False
+ODD[128:] = False
+ODD[B.SPACE] = False
+HEAD = (np.arange(256) & 0xC0) != 0x80
+#: Stands between parts that are encoded together; a part that holds it is encoded alone.
 MARK = b"\x00"
 TOGETHER = 2000
 
 
+class Known:
+    """A worker's tokenizer, and the ids of the parts it has met, by hash of the part's bytes.
+
+    The hashes are an open-addressing table in numpy arrays, so a part costs some
+    40 bytes and all parts of a chunk are looked up at once.
+    """
+
+    def __init__(self, path: str):
+        # tasks are the parallel unit; threads inside one would contend for its core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.n, self.used = 0, 0
+        self.key, self.at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.first, self.count = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
+        self.ids = np.zeros(1 << 18, "<u4")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 for unknown ones; a hash of 0 stands for 1."""
+        mask = np.uint64(len(self.key) - 1)
+        hashes = np.maximum(hashes, np.uint64(1))
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
+        slot = hashes & mask
+        while len(left):
+            there = self.key[slot]
+            hit = there == hashes[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _insert(self, hashes: np.ndarray, at: np.ndarray) -> None:
+        mask = np.uint64(len(self.key) - 1)
+        hashes = np.maximum(hashes, np.uint64(1))
+        slot = hashes & mask
+        while len(hashes):
+            free = self.key[slot] == 0
+            self.key[slot[free]], self.at[slot[free]] = hashes[free], at[free]
+            # of several that chose one free slot the last has it
+            on = self.key[slot] != hashes
+            hashes, at, slot = hashes[on], at[on], (slot[on] + np.uint64(1)) & mask
+
+    def _add(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        k = len(hashes)
+        while 2 * (self.n + k) > len(self.key):
+            old, places = self.key, self.at
+            self.key, self.at = np.zeros(2 * len(old), np.uint64), np.zeros(2 * len(old), np.int32)
+            self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
+            self._insert(old[old != 0], places[old != 0])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.n : self.n + k], self.count[self.n : self.n + k] = self.used + starts, ends - starts
+        self._insert(hashes, np.arange(self.n, self.n + k, dtype=np.int32))
+        self.used += len(ids)
+        self.n += k
+
+    def learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        """Encode new parts: many in one call, told apart by the mark's one id."""
+        together = np.array([self.mark is not None and MARK not in w for w in parts])
+        for i in np.flatnonzero(~together):
+            ids = np.array(self.tokenizer.encode(parts[i].decode(), add_special_tokens=False).ids, "<u4")
+            self._add(ids, np.array([0]), np.array([len(ids)]), hashes[i : i + 1])
+        hashes, parts = hashes[together], [w for w, t in zip(parts, together, strict=True) if t]
+        between = b" " + MARK + b" "
+        runs = [slice(i, i + TOGETHER) for i in range(0, len(parts), TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([between.join(parts[r]).decode() for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            self._add(ids, np.append(0, ends[:-1] + 1), ends, hashes[run])
+
+    def places(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> np.ndarray:
+        """The place of each of the distinct parts, learning those that are new."""
+        at = self.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if self.n and self.n + len(new) > PARTS:
+                self.forget()
+                new = np.arange(len(hashes))
+            raw = buf.tobytes()
+            self.learn(hashes[new], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = self.find(hashes)
+        return at
+
+
 @functools.lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    # tasks are the parallel unit; threads inside one would contend for its core
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t, {}, {}
-
-
-def _learn(words: list[bytes], tokenizer, known: dict[bytes, bytes]) -> None:
-    """Add the ids of ``words`` to ``known``: many in one call, told apart by the mark's one id."""
-    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-    plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
-    for w in words if len(mark) != 1 else (w for w in words if MARK in w):
-        known[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    runs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-    between = b" " + MARK + b" "
-    for run, e in zip(runs, tokenizer.encode_batch_fast([between.join(run).decode() for run in runs], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
-        starts = np.append(0, ends[:-1] + 1)
-        code = ids.tobytes()
-        for w, i, j in zip(run, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-            known[w] = code[i:j]
-
-
-def _parts(word: bytes) -> tuple[bytes, bytes]:
-    """The word in lower case as letters and the marks after them, if it is that; else the word and nothing.
-
-    The tokenizer lower-cases, and never joins a letter with a mark, so the ids
-    of the parts in order are those of the word.
+def _known(path: str) -> Known:
+    return Known(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _ends_in_letter(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the code point before each end, one beyond ASCII, is a letter."""
+    at = ends - 1
+    for _ in range(3):
+        at = at - ~HEAD[buf[at]]
+    size = ends - at
+    byte = lambda i: buf[np.minimum(at + i, len(buf) - 1)].astype(np.int64)
+    lead = byte(0) & np.choose(np.clip(size, 1, 4) - 1, [0x7F, 0x1F, 0x0F, 0x07])
+    cp = lead
+    for i in (1, 2, 3):
+        cp = np.where(size > i, (cp << 6) | (byte(i) & 0x3F), cp)
+    return _letters()[np.minimum(cp, 0x10FFFF)]
+
+
+def parts_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and start, end and row of the parts of words, in order.
+
+    The tokenizer drops white space, lower-cases, and never joins a letter with a
+    mark after it; so a word's ids are those of its beginning and of the run of
+    marks that ends it, where a letter stands between and no ASCII byte of the
+    beginning is another sign.  Other words are one part.
     """
-    low = word.lower()
-    core = low.rstrip(TAIL)
-    if core.isalpha() or not core or (not core.isascii() and core.decode().isalpha()):
-        return core, low[len(core) :]
-    return word, b""
+    starts, ends, row = B.words(buf, offs)
+    low = B.LOWER[buf]
+    cut = ends.copy()
+    marked = np.flatnonzero(TAIL[low[ends - 1]]) if len(ends) else ends
+    while len(marked):  # one mark further back each time
+        cut[marked] -= 1
+        marked = marked[cut[marked] > starts[marked]]
+        marked = marked[TAIL[low[cut[marked] - 1]]]
+    whole = np.zeros(len(starts), bool)
+    odd = np.flatnonzero(ODD[low])
+    if len(starts):
+        word = np.searchsorted(starts, odd, "right") - 1
+        whole[word[(word >= 0) & (odd < cut[word])]] = True
+    high = np.flatnonzero(~whole & (cut > starts) & (cut < ends))
+    high = high[low[cut[high] - 1] >= 128]
+    if len(high):
+        whole[high[~_ends_in_letter(low, cut[high])]] = True
+    cut[whole] = ends[whole]
+    two = (cut > starts) & (cut < ends)
+    place = np.arange(len(starts)) + np.cumsum(two) - two
+    n = len(starts) + int(two.sum())
+    s, e, r = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    s[place], e[place], r[place] = starts, np.where(two, cut, ends), row
+    s[place[two] + 1], e[place[two] + 1], r[place[two] + 1] = cut[two], ends[two], row[two]
+    return low, s, e, r
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
+def encode(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a chunk of texts, one after the other, and how many each row has.
 
-    The tokenizer drops white space, so no token crosses it and a text's ids are
-    those of its words in order; each new word is looked up once, and each new
-    part of one is encoded once.
+    Each distinct part of a word is looked up once a chunk, and encoded once a worker.
     """
-    tokenizer, known, parts = _tokenizer(path)
-    if len(known) > WORDS:
-        known.clear()
-    if len(parts) > PARTS:
-        parts.clear()
-    split = [t.split() for t in texts]
-    new = [w for w in set(chain.from_iterable(split)) if w not in known]
-    if new:
-        cut = [_parts(w) for w in new]
-        parts[b""] = b""
-        _learn([w for w in set(chain.from_iterable(cut)) if w not in parts], tokenizer, parts)
-        known.update(zip(new, [parts[core] + parts[tail] if tail else parts[core] for core, tail in cut], strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    known = _known(path)
+    low, starts, ends, row = parts_of(buf, offs)
+    if not len(starts):
+        return np.zeros(0, "<u4"), np.zeros(len(offs) - 1, np.int64)
+    hashes, first, which = np.unique(B.span_hash(low, starts, ends), return_index=True, return_inverse=True)
+    at = known.places(hashes, starts[first], ends[first], low)
+    count = known.count[at].astype(np.int64)[which]
+    begin = np.cumsum(count) - count
+    ids = known.ids[np.repeat(known.first[at][which] - begin, count) + np.arange(int(count.sum()))]
+    return ids, B.per_row(count, row, len(offs) - 1)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
@@ -107,22 +217,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "").cast(pa.large_binary())
-            lo, ids = 0, batch.column("doc_id")
-            size = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else []
-            while lo < len(texts):  # a bounded number of bytes at once, or one text
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (4 << 20), "right")))
+            for lo, hi, buf, offs in B.chunks(batch.column("text")):
+                ids, count = encode(buf, offs, tokenizer_path)
+                raw, edge = ids.tobytes(), np.r_[0, np.cumsum(4 * count)].tolist()
                 at, piece, start, cut = [], [], [], []
-                for i, code in enumerate(encode(texts.slice(lo, hi - lo).to_pylist(), tokenizer_path), lo):
-                    code += end
+                for i in range(hi - lo):
+                    code = raw[edge[i] : edge[i + 1]] + end
                     for k, j in enumerate(range(0, len(code), full)):
-                        at.append(i)
+                        at.append(lo + i)
                         piece.append(k)
                         start.append(j // 4)
                         cut.append(code[j : j + full])
-                columns = [ids.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())]
+                columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
-                lo = hi
 
     return pick(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -163,7 +270,7 @@ def pack(pieces: DataFrame, max_tokens: int = 4096, group_size: int = 32768, see
     A full piece is a sequence of its own.  ``group_size`` bounds the mean number
     of pieces that one task packs together.
     """
-    p = pieces.drop("sequence_id", "offset")
+    p = carry(pieces, ("doc_id", "piece", "length"), ("sequence_id", "offset", "_tie", "_group"))
     n = p.count()
     groups = max(1, -(-n // group_size))
     schema = T.StructType([*p.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
