@@ -18,8 +18,8 @@ Defined cases: null texts stay null; lines without a word are never compared and
 stay; rows with a null doc_id stay unchanged; rows of one doc_id are not compared
 with each other, and equal rows get the same result; a document that repeats an
 earlier one becomes an empty text; an empty table gives no rows; other columns
-are carried, and those named like an added one (n_lines, removed_lines,
-removed_words) give way.
+are carried, and those named, but for case, like a needed or an added one
+(n_lines, removed_lines, removed_words) give way.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.functions.frames import pick
+from quadloom.functions.frames import carry, pick
 from quadloom.llm import bytescan as B
 from quadloom.plans.scratch import materialize
 
@@ -156,6 +156,8 @@ def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
     p = postings(lines.filter("doc_id is not null"), link_words)
     holders = p.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("_last"))
     holders = holders.filter("first.doc_id < _last").select("key", F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"))
+    # read back, so that the join shuffles both sides and can split a hot line
+    holders = materialize(holders, "holders").hint("merge")
     pairs = p.join(holders, "key").filter("a_id < doc_id").select("doc_id", "text_hash", "a_id", "a_hash").distinct()
     earlier = lines.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("keys").alias("a_keys"))
     pairs = pairs.join(lines, ["doc_id", "text_hash"]).join(earlier, ["a_id", "a_hash"])
@@ -178,14 +180,15 @@ def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
 
 def drop_common_blocks(docs: DataFrame, min_words: int = 25, link_words: int = 5) -> DataFrame:
     """``docs`` without the lines that repeat blocks of earlier documents, plus n_lines, removed_lines, removed_words."""
-    docs = docs.drop(*ADDED)
+    docs = carry(docs, ("doc_id", "text"), (*ADDED, "_hash", "_hit_id", "_hit_hash", "_hits"))
     d = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     lines = materialize(line_table(d), "lines").dropDuplicates(["doc_id", "text_hash"])
     lines = materialize(lines, "documents-lines")
     hits = materialize(overlaps(lines, link_words, min_words), "overlaps")
     names, at = docs.columns, docs.columns.index("text")
     hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("hits").alias("_hits"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(hits, (F.col("doc_id") == F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
+    # the texts are shuffled by their documents at every size; the side with the hits is the hash table
+    joined = docs.withColumn("_hash", F.xxhash64("text")).join(hits.hint("shuffle_hash"), (F.col("doc_id") == F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
     joined = joined.drop("_hit_id", "_hit_hash", "_hash")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ADDED]])
 
