@@ -10,7 +10,6 @@ sys.path.insert(0, str(ROOT))
 # worker processes import the package too
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
-TESTDATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
