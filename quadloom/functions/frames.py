@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +43,12 @@ def carry(df: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = ()) -
             keep.append((i, c))
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"_c{i}").alias(c) for i, c in keep])
+
+
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def local(spark: SparkSession, rows: list[tuple], **columns: str) -> DataFrame:
+    """A few rows as a relation of the plan itself: its size is known, and an empty one folds away."""
+    arrays = [pa.array([r[i] for r in rows], ARROW[kind]) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))

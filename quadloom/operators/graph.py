@@ -12,9 +12,10 @@ import dataclasses
 import functools
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.functions.frames import local
 from quadloom.functions.terms import DATA, DATUM_PREFIX, INVERSE, INVERSE_OF, RDF_TYPE, REGULAR, SAME_AS
 from quadloom.operators.identity import canonical_labels
 from quadloom.plans.scratch import materialize
@@ -24,15 +25,18 @@ from quadloom.plans.scratch import materialize
 INLINE = 1000
 
 
-def canonicalize(df: DataFrame, canon: DataFrame, **columns: str) -> DataFrame:
-    """``df`` with new columns, each the canonical label of the column it names."""
+def canonicalize(df: DataFrame, canon: DataFrame | None, **columns: str) -> DataFrame:
+    """``df`` with new columns, each the canonical label of the column it names; ``canon`` None: no two labels are the same."""
     for new, old in columns.items():
+        if canon is None:
+            df = df.withColumn(new, F.col(old))
+            continue
         c = canon.select(F.col("label").alias("_label"), F.col("canonical").alias("_canonical"))
         df = df.join(c, F.col(old) == F.col("_label"), "left").withColumn(new, F.coalesce("_canonical", F.col(old))).drop("_label", "_canonical")
     return df
 
 
-def inverse_map(quads: DataFrame, canon: DataFrame, inverse_of: Iterable[str] = INVERSE_OF) -> DataFrame:
+def inverse_map(quads: DataFrame, canon: DataFrame | None, inverse_of: Iterable[str] = INVERSE_OF) -> DataFrame:
     """(p, inv) of canonical properties: both directions of each statement, the last one written counts.
 
     A property declared inverse to itself by one label is ignored; two labels with
@@ -45,25 +49,34 @@ def inverse_map(quads: DataFrame, canon: DataFrame, inverse_of: Iterable[str] =
     return pairs.groupBy("x.p").agg(F.max_by("x.inv", F.struct("x.ord", "x.turn")).alias("inv"))
 
 
-def _masked(quads: DataFrame, mask: Iterable[str] | None, mode: str, canon: DataFrame, inverse: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _few(df: DataFrame) -> list | None:
+    """The rows of a table of names, if it is small enough to become constants of a plan."""
+    rows = df.limit(INLINE + 1).collect()
+    return rows if len(rows) <= INLINE else None
+
+
+def _in(column: str, names: Iterable[str]) -> Column:
+    names = sorted(names)
+    return F.col(column).isin(names) if names else F.lit(False)
+
+
+def _masked(quads: DataFrame, mask: Iterable[str] | None, mode: str, canon: DataFrame | None, inverse: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, rejected) rows by the literal predicate; mode ``closed`` also keeps aliases and inverse partners."""
     if mask is None or mode == "none":
         return quads, quads.filter(F.lit(False))
-    names = sorted(set(mask))
-    if mode == "reference":
-        test = F.col("p").isin(names) if names else F.lit(False)
-        return quads.filter(test), quads.filter(~test)
-    if mode != "closed":
+    if mode not in ("reference", "closed"):
         raise ValueError(f"mask_mode: {mode}")
-    spark = quads.sparkSession
-    wanted = canonicalize(spark.createDataFrame([(n,) for n in names], "p string"), canon, c="p").select("c")
-    wanted = wanted.unionAll(wanted.join(inverse, wanted.c == inverse.p).select("inv")).distinct()
-    accepted = wanted.unionAll(canon.join(wanted, canon.canonical == wanted.c, "left_semi").select("label")).toDF("p")
-    few = accepted.limit(INLINE + 1).collect()
-    if len(few) <= INLINE:
-        test = F.col("p").isin([r.p for r in few]) if few else F.lit(False)
-        return quads.filter(test), quads.filter(~test)
-    return quads.join(accepted, "p", "left_semi"), quads.join(accepted, "p", "left_anti")
+    names = set(mask)
+    if mode == "closed":
+        wanted = canonicalize(local(quads.sparkSession, [(n,) for n in sorted(names)], p="string"), canon, c="p").select("c")
+        wanted = wanted.unionAll(wanted.join(inverse, wanted.c == inverse.p).select("inv")).distinct()
+        accepted = wanted if canon is None else wanted.unionAll(canon.join(wanted, canon.canonical == wanted.c, "left_semi").select("label"))
+        accepted = accepted.toDF("p")
+        few = _few(accepted)
+        if few is None:
+            return quads.join(accepted, "p", "left_semi"), quads.join(accepted, "p", "left_anti")
+        names = {r.p for r in few}
+    return quads.filter(_in("p", names)), quads.filter(~_in("p", names))
 
 
 @dataclasses.dataclass
@@ -78,6 +91,8 @@ class Graph:
     masked_data: DataFrame
     inserted: DataFrame
     type_predicate: str = RDF_TYPE
+    #: makes the edges and literals of a set of predicates as written, or None where ``edges`` and ``data`` are tables
+    narrow: Narrow | None = None
 
     @functools.cached_property
     def adj(self) -> DataFrame:
@@ -90,9 +105,25 @@ class Graph:
     def canonical(self, labels: Iterable[str]) -> dict[str, str]:
         """Canonical labels of a list of names, such as a schema's properties."""
         names = list(labels)
-        known = {r.label: r.canonical for r in self.canon.filter(F.col("label").isin(names)).collect()} if names else {}
+        if self.narrow is not None:
+            return {n: self.narrow.known.get(n, n) for n in names}
+        known = {r.label: r.canonical for r in self.canon.filter(_in("label", names)).collect()}
         return {n: known.get(n, n) for n in names}
 
+    def step(self, predicate: str) -> DataFrame:
+        """The rows of ``adj`` for one canonical predicate."""
+        if self.narrow is None:
+            return self.adj.filter(F.col("p") == predicate)
+        none = F.lit(None).cast("string")
+        e = self.narrow.edges(predicate).select(F.col("s_c").alias("s"), F.col("p_c").alias("p"), F.col("o_c").alias("dst"), none.alias("value"), none.alias("lang"), "tid")
+        d = self.narrow.data(predicate).select(F.col("s_c").alias("s"), F.col("p_c").alias("p"), F.concat(F.lit(DATUM_PREFIX), F.col("node").cast("string")).alias("dst"), "value", "lang", "tid")
+        return e.unionAll(d)
+
+    def having(self, predicate: str, obj: str) -> DataFrame:
+        """(s, tid) of the edges with one canonical predicate and object; no literal is meant."""
+        edges = self.edges.filter(F.col("p_c") == predicate) if self.narrow is None else self.narrow.edges(predicate, obj)
+        return edges.filter(F.col("o_c") == obj).select(F.col("s_c").alias("s"), "tid")
+
     @functools.cached_property
     def triples(self) -> DataFrame:
         """Every triple with both kinds of labels, its literal, role and graph, by ``tid``."""
@@ -140,24 +171,61 @@ class Graph:
         return cls(spark, *[spark.read.parquet(f"{path}/{n}") for n in names], type_predicate)
 
 
-def _regular(kept: DataFrame, canon: DataFrame) -> DataFrame:
+def _regular(kept: DataFrame, canon: DataFrame | None) -> DataFrame:
     r = canonicalize(kept.filter("o is not null"), canon, s_c="s", p_c="p", o_c="o")
     return r.select("s_c", "p_c", "o_c", F.col("s").alias("s_l"), F.col("p").alias("p_l"), F.col("o").alias("o_l"), F.lit(REGULAR).cast("tinyint").alias("role"), "graph", (F.col("ord") * 2).alias("tid"))
 
 
-def _inferred(regular: DataFrame, inverse: DataFrame) -> DataFrame:
+def _inferred(regular: DataFrame, inverse: DataFrame, few: dict[str, str] | None) -> DataFrame:
     """The inverse triples of ``regular``: canonical ends swapped, written labels kept."""
-    rows = inverse.limit(INLINE + 1).collect()
-    if len(rows) <= INLINE:
+    if few is not None:
         named = F.lit(None).cast("string")
-        for r in rows:
-            named = F.when(F.col("p_c") == r.p, F.lit(r.inv)).otherwise(named)
-        i = regular.filter(F.col("p_c").isin([r.p for r in rows]) if rows else F.lit(False)).withColumn("inv", named)
+        for p, inv in few.items():
+            named = F.when(F.col("p_c") == p, F.lit(inv)).otherwise(named)
+        i = regular.filter(_in("p_c", few)).withColumn("inv", named)
     else:
         i = regular.join(inverse.select(F.col("p").alias("_p"), "inv"), F.col("p_c") == F.col("_p"))
     return i.select(F.col("o_c").alias("s_c"), F.col("inv").alias("p_c"), F.col("s_c").alias("o_c"), "s_l", "p_l", "o_l", F.lit(INVERSE).cast("tinyint").alias("role"), "graph", (F.col("tid") + 1).alias("tid"))
 
 
+def _literals(kept: DataFrame, canon: DataFrame | None) -> DataFrame:
+    d = canonicalize(kept, canon, s_c="s", p_c="p")
+    return d.select("s_c", "p_c", F.col("s").alias("s_l"), F.col("p").alias("p_l"), F.col("ord").alias("node"), "value", F.coalesce("lang", F.lit("")).alias("lang"), "graph", (F.col("ord") * 2).alias("tid"))
+
+
+@dataclasses.dataclass
+class Narrow:
+    """The statements of one canonical predicate only: what is filtered is the predicate as written, which reaches the scans.
+
+    A group of equal triples has one canonical predicate, so conflicts can be resolved in such a part.
+    """
+
+    kept_objects: DataFrame
+    kept_data: DataFrame
+    canon: DataFrame | None
+    known: dict[str, str]
+    inverse: dict[str, str]
+
+    def written(self, label: str) -> set[str]:
+        """All labels with the canonical label ``label``."""
+        return {label, *(a for a, c in self.known.items() if c == label)}
+
+    def edges(self, predicate: str, obj: str | None = None) -> DataFrame:
+        rows = self.kept_objects.filter(_in("p", self.written(predicate)))
+        if obj is not None:
+            rows = rows.filter(_in("o", self.written(obj)))
+        out = _regular(rows, self.canon)
+        for partner in sorted(p for p, inv in self.inverse.items() if inv == predicate):
+            rows = self.kept_objects.filter(_in("p", self.written(partner)))
+            if obj is not None:
+                rows = rows.filter(_in("s", self.written(obj)))
+            out = out.unionAll(_inferred(_regular(rows, self.canon), None, {partner: predicate}))
+        return resolve_conflicts(out)
+
+    def data(self, predicate: str) -> DataFrame:
+        return _literals(self.kept_data.filter(_in("p", self.written(predicate))), self.canon)
+
+
 def resolve_conflicts(inserted: DataFrame) -> DataFrame:
     """One row per canonical triple: the smallest role, then the earliest."""
     rest = ("s_l", "p_l", "o_l", "role", "graph", "tid")
@@ -186,15 +254,24 @@ def build_graph(
     names = list(same_as)
     stated = quads.filter(F.col("p").isin(names) if names else F.lit(False)).filter("o is not null")
     canon = canonical_labels(stated, same_as_mode)
-    inverse = inverse_map(quads, canon, inverse_of)
+    few = _few(canon)
+    known = None if few is None else {r.label: r.canonical for r in few}
+    used = None if known == {} else canon
+    inverse = inverse_map(quads, used, inverse_of)
+    few = _few(inverse)
+    pairs = None if few is None else {r.p: r.inv for r in few}
+    if pairs is not None:
+        inverse = local(quads.sparkSession, list(pairs.items()), p="string", inv="string")
     objects, data = masks if masks is not None else (None, None)
-    kept_o, no_o = _masked(quads.filter("o is not null"), objects, mask_mode, canon, inverse)
-    kept_d, no_d = _masked(quads.filter("o is null and value is not null"), data, mask_mode, canon, inverse)
-    regular = _regular(kept_o, canon)
-    inserted = regular.unionAll(_inferred(regular, inverse))
-    literals = canonicalize(kept_d, canon, s_c="s", p_c="p")
-    literals = literals.select("s_c", "p_c", F.col("s").alias("s_l"), F.col("p").alias("p_l"), F.col("ord").alias("node"), "value", F.coalesce("lang", F.lit("")).alias("lang"), "graph", (F.col("ord") * 2).alias("tid"))
+    kept_o, no_o = _masked(quads.filter("o is not null"), objects, mask_mode, used, inverse)
+    kept_d, no_d = _masked(quads.filter("o is null and value is not null"), data, mask_mode, used, inverse)
+    regular = _regular(kept_o, used)
+    inserted = regular.unionAll(_inferred(regular, inverse, pairs))
+    literals = _literals(kept_d, used)
     edges = resolve_conflicts(inserted)
+    narrow = None
     if persist:
         edges, literals = materialize(edges, "edges"), materialize(literals, "data")
-    return Graph(quads.sparkSession, quads, canon, inverse, edges, literals, no_o, no_d, inserted, type_predicate)
+    elif known is not None and pairs is not None:
+        narrow = Narrow(kept_o, kept_d, used, known, pairs)
+    return Graph(quads.sparkSession, quads, canon, inverse, edges, literals, no_o, no_d, inserted, type_predicate, narrow)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.functions.frames import local
 from quadloom.operators.components import connected_components
 from quadloom.plans.scratch import materialize
 
@@ -63,7 +64,7 @@ def canonical_labels(same: DataFrame, mode: str = "auto", driver_limit: int = 20
         rows = same.limit(driver_limit + 1).collect()
         if len(rows) <= driver_limit:
             canon = fold_in_order([(r.s, r.o) for r in sorted(rows)])
-            return spark.createDataFrame([(k, v) for k, v in canon.items() if k != v], SCHEMA)
+            return local(spark, [(k, v) for k, v in canon.items() if k != v], label="string", canonical="string")
         if mode == "driver":
             raise ValueError(f"more than {driver_limit} statements")
     same = materialize(same, "same")

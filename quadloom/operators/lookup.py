@@ -8,6 +8,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.functions.frames import local
 from quadloom.operators.entities import BundleTables, nested
 from quadloom.operators.graph import Graph, canonicalize
 
@@ -22,8 +23,7 @@ class Lookup:
     @functools.cached_property
     def index(self) -> DataFrame:
         """(uri, bundle), a row for each pair."""
-        schema = "uri string, bundle string"
-        out = self.graph.spark.createDataFrame([], schema)
+        out = local(self.graph.spark, [], uri="string", bundle="string")
         for name, t in self.bundles.items():
             out = out.unionAll(t.entity.select("uri", F.lit(name).alias("bundle")))
         return out
@@ -53,9 +53,14 @@ class Lookup:
         found = self.bundle_of(spread).filter("bundle is not null")
         return found.groupBy("id").agg(F.min(F.struct("at", "uri", "bundle")).alias("x")).select("id", F.col("x.uri").alias("uri"), F.col("x.bundle").alias("bundle"))
 
+    def resolve(self, uri: str) -> tuple[str, str] | None:
+        """(bundle, canonical URI) of one URI, with blanks around it dropped; None if it is no entity."""
+        r = self.bundle_of(local(self.graph.spark, [(uri.strip(),)], uri="string")).first()
+        return (r.bundle, r.canonical) if r.bundle is not None else None
+
     def entity(self, uri: str, bundle: str) -> DataFrame:
         """The entity with all its values and children, found by any of its labels."""
-        one = self.graph.spark.createDataFrame([(uri,)], "uri string")
+        one = local(self.graph.spark, [(uri,)], uri="string")
         key = self.canonical(one).select(F.col("canonical").alias("_key"))
         rows = nested(self.bundles[bundle])
         return rows.join(key, F.col("uri") == F.col("_key")).drop("_key")

@@ -1,8 +1,8 @@
 """Path queries: chains of joins over the graph's adjacency.
 
 A ``PathSet`` is a bag of paths.  Each step is one equi-join whose right side is
-the adjacency filtered to one predicate, so the filter reaches the scan and
-Catalyst picks the join.  Two ways to the same node are two paths; two equal
+the adjacency of one predicate, so the filter reaches the scan and Catalyst
+picks the join.  Two ways to the same node are two paths; two equal
 literals are two values.
 """
 
@@ -32,13 +32,13 @@ class PathSet:
         """Paths of one node: the subjects of (., predicate, obj)."""
         c = graph.canonical([predicate, obj])
         none = F.lit(None).cast("string")
-        found = graph.adj.filter((F.col("p") == c[predicate]) & (F.col("dst") == c[obj]))
+        found = graph.having(c[predicate], c[obj])
         return cls(graph, found.select(F.col("s").alias("n0"), none.alias("value"), none.alias("lang"), F.array().cast("array<bigint>").alias("done"), F.array("tid").alias("here")), 0)
 
     def connected(self, predicate: str) -> PathSet:
         """One hop further along ``predicate``, to nodes and to literals."""
         p = self.graph.canonical([predicate])[predicate]
-        step = self.graph.adj.filter(F.col("p") == p).select(F.col("s").alias("_s"), F.col("dst").alias(f"n{self.last + 1}"), F.col("value").alias("_value"), F.col("lang").alias("_lang"), F.col("tid").alias("_tid"))
+        step = self.graph.step(p).select(F.col("s").alias("_s"), F.col("dst").alias(f"n{self.last + 1}"), F.col("value").alias("_value"), F.col("lang").alias("_lang"), F.col("tid").alias("_tid"))
         joined = self.df.join(step, F.col(f"n{self.last}") == F.col("_s"))
         nodes = [f"n{i}" for i in range(self.last + 2)]
         df = joined.select(*nodes, F.col("_value").alias("value"), F.col("_lang").alias("lang"), F.concat("done", "here").alias("done"), F.array("_tid").alias("here"))
@@ -47,7 +47,7 @@ class PathSet:
     def ending(self, predicate: str, obj: str) -> PathSet:
         """Only paths whose last node has (node, predicate, obj); that triple goes before the edge to the node."""
         c = self.graph.canonical([predicate, obj])
-        found = self.graph.adj.filter((F.col("p") == c[predicate]) & (F.col("dst") == c[obj])).select(F.col("s").alias("_s"), F.col("tid").alias("_tid"))
+        found = self.graph.having(c[predicate], c[obj]).select(F.col("s").alias("_s"), F.col("tid").alias("_tid"))
         joined = self.df.join(found, F.col(f"n{self.last}") == F.col("_s"))
         df = joined.withColumn("here", F.concat(F.array("_tid"), "here")).drop("_s", "_tid")
         return PathSet(self.graph, df, self.last, self.edges)

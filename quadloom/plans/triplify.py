@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.functions.frames import local
 from quadloom.functions.terms import OWL, RDF_TYPE
 from quadloom.sources.pathbuilder import Path, Pathbuilder, from_paths
 
@@ -44,7 +45,8 @@ KIND = {"orders": "order"}
 
 def star_quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """Statements of the star schema's tables; ``inverses`` come first."""
-    out = spark.createDataFrame([(-1000 + i, BASE + a, INVERSE, BASE + b, None, "", None, "") for i, (a, b) in enumerate(inverses)], "ord long, s string, p string, o string, value string, lang string, datatype string, graph string")
+    stated = [(-1000 + i, BASE + a, INVERSE, BASE + b, None, "", None, "") for i, (a, b) in enumerate(inverses)]
+    out = local(spark, stated, ord="bigint", s="string", p="string", o="string", value="string", lang="string", datatype="string", graph="string")
     for at, name in enumerate(tables):
         cls, keys, objects, data = TABLES[name]
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1 +1 @@
-"""quadloom.streaming"""
+"""No streaming operators: the data model is a batch that is read whole, three passes over a fixed order."""

@@ -97,9 +97,31 @@ def test_lookup(extracted, spark):
     assert look.entity("a1", "obj").first().uri == "a1" and look.entity("zz", "obj").count() == 0
     assert [r.uri for r in look.page("obj", 1, 5).collect()] == ["a2"] and look.page("obj", 2).count() == 0
     assert look.navigate("x", ["http://h"]).count() == 0
+    assert look.resolve(" a1 ") == ("obj", "a1") and look.resolve("zz") is None
 
 
 def test_pages_and_addresses():
     assert join_public("http://h/base/", "/a/1") == ["http://h/base/a/1", "https://h/base/a/1"]
     assert page_links(250, 100, 100) == {"first": 0, "previous": 0, "next": 200, "last": 200}
     assert page_links(0, 0, 100) == {"first": None, "previous": None, "next": None, "last": None}
+
+
+def test_load_and_export_from_files(spark, tmp_path):
+    from golden import STATEMENTS
+
+    from quadloom.plans.load import export_all, load
+    from quadloom.sources.pathbuilder import dumps_xml
+
+    lines = [f"<{s}> <{p}> " + (f"<{o}>" if o else f'"{v}"' + (f"@{lang}" if lang else "")) + " <g> .\n" for s, p, o, v, lang in STATEMENTS]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.nq").write_text("".join(lines))
+    (tmp_path / "in/x.xml").write_text(dumps_xml(pathbuilder()))
+    g, bundles, look = load(spark, str(tmp_path / "in"), **OPTIONS)
+    s = g.stats().first()
+    assert (s.direct, s.inverse, s.datum, s.conflict, s.masked_pred, s.masked_data) == (6, 1, 4, 2, 5, 1)
+    assert look.resolve("a1") == ("obj", "a1")
+    for target, name in (("sqlite", "o.db"), ("csv", "csv"), ("parquet", "pq"), ("json", "json")):
+        export_all(bundles, target, str(tmp_path / name))
+    assert spark.read.parquet(str(tmp_path / "pq/bundle__obj")).count() == 2
+    with pytest.raises(ValueError):
+        export_all(bundles, "xlsx", "x")
