@@ -20,7 +20,8 @@ With 32 bands a pair at the threshold shares none with probability below 1e-5.
 
 Defined cases: null or blank texts have empty sets and link with nothing, also
 not with each other; with fewer words than a shingle the whole sequence is the
-one shingle; repeated rows share one component, the smallest id; rows with a null
+one shingle; repeated rows share one component, the smallest id; a doc_id with
+several texts is one node, whose links are found by one of them; rows with a null
 doc_id are never linked and have component_id null; other columns are ignored.
 """
 
