@@ -24,12 +24,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.functions.frames import carry
-from quadloom.plans.scratch import scratch_path
+from quadloom.plans.scratch import materialize, scratch_path
 
 ADDED = ("shard", "bucket", "slot")
 
@@ -44,7 +44,7 @@ def input_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8).cast("long"))).first()[0] or 0
 
 
-def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with shard, bucket and slot (gapless from 0 in each shard).
 
     ``bucket_bytes`` bounds the mean bucket; a bucket is what one task holds at once.
@@ -58,11 +58,10 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: in
     keys = keys.withColumn("bucket", bucket)
     if per_shard == 1:
         keys = keys.withColumn("bucket", F.lit(0))
-    counts = keys.groupBy("shard", "bucket").count()
-    # at most per_shard rows a shard: the earlier buckets' counts as one small array a shard
-    listed = counts.groupBy("shard").agg(F.collect_list(F.struct("bucket", "count")).alias("_all"))
-    before = F.aggregate(F.filter("_all", lambda x: x["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda a, x: a + x["count"])
-    starts = counts.join(listed, "shard").select("shard", "bucket", before.alias("base")).toDF("_shard", "_bucket", "base")
+    counts = materialize(keys.groupBy("shard", "bucket").count(), "bucket-counts")
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("count").over(earlier), F.lit(0)).cast("long")
+    starts = counts.select("shard", "bucket", base.alias("base")).toDF("_shard", "_bucket", "base")
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType())])
     names = docs.columns
 
