@@ -15,7 +15,8 @@ DataFrame functions only.  The plan is:
 Defined cases: null source is a source of its own, last in order; null or empty
 text has size 0 and takes nothing; a source without words has target 0; an
 empty table gives an empty result; repeated rows are documents of their own;
-other columns of the input are ignored by ``plan_mix`` and kept by ``mix``
+the table of sources (a row each, not a document) passes single tasks, so there
+may be millions of sources, not billions; other columns of the input are ignored by ``plan_mix`` and kept by ``mix``
 (columns named, but for case, like a needed or an added one give way).
 """
 
@@ -88,7 +89,11 @@ def block_quotas(targets: DataFrame, shards: int, blocks: int, max_repeat: int)
     base = F.floor(F.try_divide(F.col("target") * F.col("_house"), F.col("_sum")) + 0.5).cast("long")
     t = t.withColumn("_base", F.coalesce(base, F.lit(0).cast("long")))
     t = t.withColumn("_miss", F.col("_house") - F.sum("_base").over(Window.partitionBy("shard")))
-    step = F.when(F.col("_miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs("_miss")))
+    t = t.withColumn("_n", F.count("*").over(Window.partitionBy("shard")))
+    # if all seats are to change by d, a source with share s of n sources' targets changes by s * (d + n) + 1 at most,
+    # so the candidates of all sources are some 3 * n, not n * d
+    most = F.floor(F.coalesce(F.try_divide("target", "_sum"), F.lit(0.0)) * (F.abs("_miss") + F.col("_n"))) + 2
+    step = F.when(F.col("_miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.least(F.abs("_miss"), most.cast("long"))))
     t = t.withColumn("_step", F.explode(step))
     up, seat = F.col("_miss") > 0, F.col("_base") + F.col("_step")
     quotient = F.when(up, F.col("target") / (2 * seat - 1)).otherwise(-F.col("target") / (2 * (F.col("_base") - F.col("_step")) + 1))

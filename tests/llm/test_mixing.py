@@ -77,8 +77,9 @@ def apportion(weights, seats):
 
 def test_quotas_are_sainte_lague(spark):
     r = random.Random(1)
-    for n in (1, 2, 5, 9):
-        target = [float(r.randrange(1, 500)) for _ in range(n)]
+    for n, most in ((1, 500), (2, 500), (5, 500), (9, 500), (40, 9), (60, 3)):
+        target = [float(r.randrange(1, most)) for _ in range(n)]
+        target[0] *= r.choice([1, 1000])
         rows = [(f"s{i}", 10**6, i + 1, 1.0, t) for i, t in enumerate(target)]
         df = spark.createDataFrame(rows, "source string, source_size long, rank int, weight double, target double")
         q = {x["rank"]: x for x in mixing.block_quotas(df, 4, 60, 2).collect()}
