@@ -27,11 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quadloom.functions.frames import pick
 from quadloom.llm import bytescan as B
 from quadloom.llm.crf import ascend, sigmoid
 from quadloom.llm.samples import labelled_sample
+from quadloom.plans.scratch import materialize
 
 GAP = np.ones(256, bool)
 GAP[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = False
@@ -91,60 +93,81 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_words: int = 20000, least_docs: int = 3, least_z: float = 4.0, steps: int = 150, l2: float = 1e-5
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_words: int = 20000, least_docs: int = 3, least_z: float = 4.0, steps: int = 150, l2: float = 1e-6
 ) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, outside fold ``held_out``.
 
     A sign gets a weight if it is in ``least_docs`` documents of the sample and its
     share among toxic ones exceeds that among others by ``least_z`` standard errors (of equal shares).
     """
-    sample = labelled_sample(docs, labels, label, folds, held_out, per_class)
+    sample = materialize(labelled_sample(docs, labels, label, folds, held_out, per_class), "toxic-sample")
+
+    def short(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signs, their sentences and rows, without rows of too many words; and how many sentences each row has."""
+        signs, sentence, owner, _, _ = sentences(buf, offs)
+        row = owner[sentence]
+        rows = len(offs) - 1
+        fits = np.bincount(B.words(buf, offs, GAP)[2], minlength=rows) <= max_words
+        count = np.where(fits, np.bincount(owner, minlength=rows), 0)
+        first = np.searchsorted(owner, np.arange(rows))
+        keep = np.flatnonzero(fits[row])
+        return signs[keep], (sentence - first[row])[keep], row[keep], count
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labelled = batch.column("label").to_numpy()
+            for lo, _, buf, offs in B.chunks(batch.column("text")):
+                signs, _, row, count = short(buf, offs)
+                order = np.lexsort([signs, row])
+                signs, row = signs[order], row[order]
+                new = np.ones(len(signs), bool)
+                new[1:] = (signs[1:] != signs[:-1]) | (row[1:] != row[:-1])
+                full = np.flatnonzero(count)  # each document itself, as the null sign
+                sign = pa.concat_arrays([pa.array(signs[new].view(np.int64)), pa.nulls(len(full), pa.int64())])
+                yield pa.RecordBatch.from_arrays([sign, pa.array(labelled[lo + np.r_[row[new], full]])], ["sign", "label"])
+
+    counts = sample.mapInArrow(listed, "sign long, label int").groupBy("sign").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    counts = materialize(counts, "signs")
+    whole = counts.filter("sign is null").first()
+    n_toxic, n_clean = (whole.toxic, whole.n - whole.toxic) if whole else (0, 0)
+    none = np.zeros(0, np.uint64)
+    if not (n_toxic and n_clean):
+        return Model(none, np.zeros(0), -40.0, float(bool(n_toxic)))
+    pooled = F.col("n") / (n_toxic + n_clean)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
+    excess = F.col("toxic") / n_toxic - (F.col("n") - F.col("toxic")) / n_clean
+    # of the sample's signs only those that are found in several toxic documents of at most per_class
+    found = counts.filter(F.col("sign").isNotNull() & (F.col("n") >= least_docs) & (excess > least_z * error)).select("sign").toArrow()
+    word = np.sort(found["sign"].to_numpy().view(np.uint64))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in B.chunks(batch.column("text")):
-                hashes, sentence, owner, _, _ = sentences(buf, offs)
-                row = owner[sentence]
-                order = np.lexsort([hashes, sentence])
-                hashes, sentence, row = hashes[order], sentence[order], row[order]
-                edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                short = np.flatnonzero(np.diff(edge) <= max_words * (1 + len(PREFIXES)))
-                runs = [(edge[i], edge[i + 1]) for i in short]
-                cells = [(hashes[i:j].tobytes(), (sentence[i:j] - (sentence[i] if i < j else 0)).astype("<i4").tobytes()) for i, j in runs]
-                part, at = batch.slice(lo, hi - lo), pa.array(short)
-                columns = [part.column("label").take(at), part.column("weight").take(at), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "weight", "words", "sentences"])
-
-    # at most 2 * per_class documents of max_words words
-    rows = sample.mapInArrow(measured, "label int, weight double, words binary, sentences binary").toArrow()
-    rows = sorted(zip(*[rows[c].to_pylist() for c in ("label", "weight", "words", "sentences")], strict=True))
-    rows = [r for r in rows if r[2]]
-    classes = {r[0] for r in rows}
-    none = np.zeros(0, np.uint64)
-    if classes != {0, 1}:
-        return Model(none, np.zeros(0), -40.0, float(0 not in classes and bool(classes)))
+                signs, sentence, row, count = short(buf, offs)
+                at = np.minimum(np.searchsorted(word, signs), max(0, len(word) - 1))
+                hit = np.flatnonzero(word[at] == signs) if len(word) else np.zeros(0, np.int64)
+                hit = hit[np.lexsort([at[hit], sentence[hit], row[hit]])]
+                pairs = np.stack([at[hit], sentence[hit]], 1).astype("<i4")
+                edge = np.searchsorted(row[hit], np.arange(hi - lo + 1))
+                cells = [pairs[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+                full = pa.array(np.flatnonzero(count))
+                part = batch.slice(lo, hi - lo)
+                columns = [part.column("label"), part.column("weight"), pa.array(count), pa.array(cells, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.take(full) for c in columns], ["label", "weight", "count", "hits"])
+
+    # at most 2 * per_class documents, of each the occurrences of the chosen signs
+    rows = sample.mapInArrow(measured, "label int, weight double, count long, hits binary").toArrow()
+    # a defined order, whatever order the tasks ended in
+    rows = sorted(zip(*[rows[c].to_pylist() for c in ("label", "weight", "count", "hits")], strict=True))
     y = np.array([r[0] for r in rows], float)
     weight = np.array([r[1] for r in rows])
     weight /= weight.sum()
-    hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
-    inner = [np.frombuffer(r[3], "<i4").astype(np.int64) for r in rows]
-    count = np.array([s[-1] + 1 for s in inner])
-    sentence = np.concatenate([s + o for s, o in zip(inner, np.cumsum(count) - count, strict=True)])
+    count = np.array([r[2] for r in rows])
+    pairs = [np.frombuffer(r[3], "<i4").reshape(-1, 2).astype(np.int64) for r in rows]
+    at = np.concatenate([x[:, 0] for x in pairs])
+    sentence = np.concatenate([x[:, 1] + o for x, o in zip(pairs, np.cumsum(count) - count, strict=True)])
     owner = np.repeat(np.arange(len(rows)), count)
-    word, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    edge = np.cumsum([0, *map(len, hashes)])
-    own = [np.unique(at[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
-    in_toxic = np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t]), minlength=len(word))
-    in_clean = np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if not t]), minlength=len(word))
-    n_toxic, n_clean = y.sum(), len(y) - y.sum()
-    p_toxic, p_clean = in_toxic / n_toxic, in_clean / n_clean
-    pooled = (in_toxic + in_clean) / (n_toxic + n_clean)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
-    common = (in_toxic + in_clean >= least_docs) & (p_toxic - p_clean > least_z * error)
-    number = np.cumsum(common) - 1
-    held = common[at]
-    at, sentence = number[at[held]], sentence[held]
-    m, n = int(common.sum()), int(count.sum())
+    m, n = len(word), int(count.sum())
 
     def slope(x: np.ndarray) -> np.ndarray:
         p = sigmoid(x[0] + np.bincount(sentence, x[1:][at], n))
@@ -156,7 +179,7 @@ def train(
     # a start at which a document without signs has about the toxic share
     start = np.r_[np.log(max(1e-6, (weight * y).sum()) / max(1.0, float(np.median(count)))), np.zeros(m)]
     x = ascend(slope, start, steps)
-    return Model(word[common], x[1:], float(x[0]))
+    return Model(word, x[1:], float(x[0]))
 
 
 def toxic_sentences(docs: DataFrame, model: Model, at_least: float = 0.3) -> DataFrame:
