@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,23 +60,29 @@ def _in(column: str, names: Iterable[str]) -> Column:
     return F.col(column).isin(names) if names else F.lit(False)
 
 
-def _masked(quads: DataFrame, mask: Iterable[str] | None, mode: str, canon: DataFrame | None, inverse: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) rows by the literal predicate; mode ``closed`` also keeps aliases and inverse partners."""
-    if mask is None or mode == "none":
-        return quads, quads.filter(F.lit(False))
-    if mode not in ("reference", "closed"):
+def _accepted(spark: SparkSession, mask: Iterable[str] | None, mode: str, canon: DataFrame | None, inverse: DataFrame) -> set[str] | DataFrame | None:
+    """The predicates as written that a mask lets pass (None: all; a table if there are many); ``closed`` adds aliases and inverse partners."""
+    if mode not in ("reference", "closed", "none"):
         raise ValueError(f"mask_mode: {mode}")
+    if mask is None or mode == "none":
+        return None
     names = set(mask)
-    if mode == "closed":
-        wanted = canonicalize(local(quads.sparkSession, [(n,) for n in sorted(names)], p="string"), canon, c="p").select("c")
-        wanted = wanted.unionAll(wanted.join(inverse, wanted.c == inverse.p).select("inv")).distinct()
-        accepted = wanted if canon is None else wanted.unionAll(canon.join(wanted, canon.canonical == wanted.c, "left_semi").select("label"))
-        accepted = accepted.toDF("p")
-        few = _few(accepted)
-        if few is None:
-            return quads.join(accepted, "p", "left_semi"), quads.join(accepted, "p", "left_anti")
-        names = {r.p for r in few}
-    return quads.filter(_in("p", names)), quads.filter(~_in("p", names))
+    if mode == "reference":
+        return names
+    wanted = canonicalize(local(spark, [(n,) for n in sorted(names)], p="string"), canon, c="p").select("c")
+    wanted = wanted.unionAll(wanted.join(inverse, wanted.c == inverse.p).select("inv")).distinct()
+    accepted = wanted if canon is None else wanted.unionAll(canon.join(wanted, canon.canonical == wanted.c, "left_semi").select("label"))
+    few = _few(accepted.toDF("p"))
+    return accepted.toDF("p") if few is None else {r.p for r in few}
+
+
+def _masked(quads: DataFrame, accepted: set[str] | DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) rows by the literal predicate."""
+    if accepted is None:
+        return quads, quads.filter(F.lit(False))
+    if isinstance(accepted, set):
+        return quads.filter(_in("p", accepted)), quads.filter(~_in("p", accepted))
+    return quads.join(accepted, "p", "left_semi"), quads.join(accepted, "p", "left_anti")
 
 
 @dataclasses.dataclass
@@ -205,25 +211,39 @@ class Narrow:
     canon: DataFrame | None
     known: dict[str, str]
     inverse: dict[str, str]
+    #: statements by predicate as written, and which of them the masks let pass (None: all)
+    parts: Mapping[str, DataFrame] | None = None
+    objects: set[str] | None = None
+    literals: set[str] | None = None
+
+    def _rows(self, kept: DataFrame, accepted: set[str] | None, test: str, predicate: str) -> DataFrame:
+        names = self.written(predicate)
+        if self.parts is None:
+            return kept.filter(_in("p", names))
+        mine = [self.parts[n] for n in sorted(names) if n in self.parts and (accepted is None or n in accepted)]
+        if not mine:
+            return kept.filter(F.lit(False))
+        return functools.reduce(DataFrame.unionAll, mine).filter(test)
 
     def written(self, label: str) -> set[str]:
         """All labels with the canonical label ``label``."""
         return {label, *(a for a, c in self.known.items() if c == label)}
 
     def edges(self, predicate: str, obj: str | None = None) -> DataFrame:
-        rows = self.kept_objects.filter(_in("p", self.written(predicate)))
+        of = functools.partial(self._rows, self.kept_objects, self.objects, "o is not null")
+        rows = of(predicate)
         if obj is not None:
             rows = rows.filter(_in("o", self.written(obj)))
         out = _regular(rows, self.canon)
         for partner in sorted(p for p, inv in self.inverse.items() if inv == predicate):
-            rows = self.kept_objects.filter(_in("p", self.written(partner)))
+            rows = of(partner)
             if obj is not None:
                 rows = rows.filter(_in("s", self.written(obj)))
             out = out.unionAll(_inferred(_regular(rows, self.canon), None, {partner: predicate}))
         return resolve_conflicts(out)
 
     def data(self, predicate: str) -> DataFrame:
-        return _literals(self.kept_data.filter(_in("p", self.written(predicate))), self.canon)
+        return _literals(self._rows(self.kept_data, self.literals, "o is null and value is not null", predicate), self.canon)
 
 
 def resolve_conflicts(inserted: DataFrame) -> DataFrame:
@@ -242,6 +262,7 @@ def build_graph(
     same_as_mode: str = "auto",
     type_predicate: str = RDF_TYPE,
     persist: bool = False,
+    parts: Mapping[str, DataFrame] | None = None,
 ) -> Graph:
     """The graph of ``quads`` (ord, s, p, o, value, lang, graph).
 
@@ -249,7 +270,9 @@ def build_graph(
     ``Pathbuilder.masks``).  Mode ``reference`` tests the predicate as written and
     before inverses are inferred; ``closed`` first adds aliases and inverse
     partners of the masks; ``none`` keeps all.  ``persist`` writes the triples as
-    scratch tables, for graphs that many paths will walk.
+    scratch tables, for graphs that many paths will walk.  ``parts``: the same
+    statements by predicate, for sources that have them apart; a step of a path is
+    then planned from its own.
     """
     names = list(same_as)
     stated = quads.filter(F.col("p").isin(names) if names else F.lit(False)).filter("o is not null")
@@ -263,8 +286,9 @@ def build_graph(
     if pairs is not None:
         inverse = local(quads.sparkSession, list(pairs.items()), p="string", inv="string")
     objects, data = masks if masks is not None else (None, None)
-    kept_o, no_o = _masked(quads.filter("o is not null"), objects, mask_mode, used, inverse)
-    kept_d, no_d = _masked(quads.filter("o is null and value is not null"), data, mask_mode, used, inverse)
+    pass_o, pass_d = (_accepted(quads.sparkSession, m, mask_mode, used, inverse) for m in (objects, data))
+    kept_o, no_o = _masked(quads.filter("o is not null"), pass_o)
+    kept_d, no_d = _masked(quads.filter("o is null and value is not null"), pass_d)
     regular = _regular(kept_o, used)
     inserted = regular.unionAll(_inferred(regular, inverse, pairs))
     literals = _literals(kept_d, used)
@@ -273,5 +297,6 @@ def build_graph(
     if persist:
         edges, literals = materialize(edges, "edges"), materialize(literals, "data")
     elif known is not None and pairs is not None:
-        narrow = Narrow(kept_o, kept_d, used, known, pairs)
+        constant = not any(isinstance(x, DataFrame) for x in (pass_o, pass_d))
+        narrow = Narrow(kept_o, kept_d, used, known, pairs, *((parts, pass_o, pass_d) if constant else ()))
     return Graph(quads.sparkSession, quads, canon, inverse, edges, literals, no_o, no_d, inserted, type_predicate, narrow)

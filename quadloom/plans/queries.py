@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quadloom.operators import entities
 from quadloom.operators.graph import Graph, build_graph
 from quadloom.operators.lookup import Lookup
 from quadloom.operators.paths import compile_path
-from quadloom.plans.triplify import BASE, customer_schema, document_quads, star_quads, uri
+from quadloom.plans.triplify import BASE, customer_schema, document_quads, star_parts, star_quads, uri
 from quadloom.sinks import export
 from quadloom.sources.nquads import parse_lines, to_lines
 from quadloom.sources.pathbuilder import Path
@@ -21,8 +23,8 @@ HAS_ORDER = [("placedBy", "hasOrder")]
 
 
 def _graph(spark: SparkSession, sf_dir: str, *tables: str, **options) -> Graph:
-    inverses = options.pop("inverses", ())
-    return build_graph(star_quads(spark, sf_dir, tables, inverses), **options)
+    parts = star_parts(spark, sf_dir, tables, options.pop("inverses", ()))
+    return build_graph(functools.reduce(DataFrame.unionAll, parts.values()), parts=parts, **options)
 
 
 def _customers(spark: SparkSession, sf_dir: str, **options) -> tuple[Graph, entities.BundleTables]:

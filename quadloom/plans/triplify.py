@@ -6,6 +6,7 @@ so a path that needs three predicates scans three narrow column sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,10 +44,14 @@ TABLES = {
 KIND = {"orders": "order"}
 
 
-def star_quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses: Iterable[tuple[str, str]] = ()) -> DataFrame:
-    """Statements of the star schema's tables; ``inverses`` come first."""
+def star_parts(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses: Iterable[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+    """Statements of the star schema's tables by predicate; ``inverses`` come first in the order."""
     stated = [(-1000 + i, BASE + a, INVERSE, BASE + b, None, "", None, "") for i, (a, b) in enumerate(inverses)]
-    out = local(spark, stated, ord="bigint", s="string", p="string", o="string", value="string", lang="string", datatype="string", graph="string")
+    out = {INVERSE: local(spark, stated, ord="bigint", s="string", p="string", o="string", value="string", lang="string", datatype="string", graph="string")}
+
+    def add(name: str, rows: DataFrame) -> None:
+        out[name] = out[name].unionAll(rows) if name in out else rows
+
     for at, name in enumerate(tables):
         cls, keys, objects, data = TABLES[name]
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,14 +60,19 @@ def star_quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses
         s = uri(KIND.get(name, name), *key)
         # unique in a table by its keys, apart between tables by the place in the list
         ord_ = (F.col(keys[0]).cast("bigint") if len(keys) == 1 else F.abs(F.xxhash64(*key)) % (1 << 48)) * 8 + at
-        parts = [_rows(df, ord_, 0, s, RDF_TYPE, F.lit(BASE + cls))]
-        parts += [_rows(df, ord_, 1 + i, s, BASE + p, uri(kind, *cols)) for i, (p, kind, cols) in enumerate(objects)]
-        parts += [_rows(df, ord_, 9 + i, s, BASE + p, None, F.col(c)) for i, (p, c) in enumerate(data)]
-        for p in parts:
-            out = out.unionAll(p)
+        add(RDF_TYPE, _rows(df, ord_, 0, s, RDF_TYPE, F.lit(BASE + cls)))
+        for i, (p, kind, cols) in enumerate(objects):
+            add(BASE + p, _rows(df, ord_, 1 + i, s, BASE + p, uri(kind, *cols)))
+        for i, (p, c) in enumerate(data):
+            add(BASE + p, _rows(df, ord_, 9 + i, s, BASE + p, None, F.col(c)))
     return out
 
 
+def star_quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """``star_parts`` in one table."""
+    return functools.reduce(DataFrame.unionAll, star_parts(spark, sf_dir, tables, inverses).values())
+
+
 def document_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: class, literal ``length`` in the document's language, source as graph; the
     smallest id of each text is stated the same as the text's others."""
