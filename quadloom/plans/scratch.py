@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files when it ends; otherwise they stay until the driver's garbage is collected.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _FALLBACK: dict[str, str] = {}
 
 
@@ -35,7 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a scratch table and return a reader of it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 
