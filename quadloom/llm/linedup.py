@@ -10,7 +10,9 @@
    longest increasing order, are anchors; between anchors the same again; equal
    lines next to the ends of a gap are matched.
 3. Runs of matched lines that follow each other in both documents are common
-   blocks; those of ``min_words`` words or more go from the later document.
+   blocks; those of ``min_words`` words or more go from the later document.  Blocks
+   that the diff cannot match, as they stand twice or in another order, go too:
+   the earlier document's runs of ``min_words`` words are looked up one by one.
 
 The earlier document of a pair is the one with the smaller doc_id.
 
@@ -24,9 +26,10 @@ are carried, and those named, but for case, like a needed or an added one
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -136,19 +139,49 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _shortest(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """Start and end of the shortest runs of ``min_words`` words or more from each line on and up to each line.
+
+    They cover every line of every run of ``min_words`` words or more without leaving it.
+    """
+    least = max(min_words, 1)
+    total = [0, *accumulate(words)]
+    out = set()
+    for i in range(len(words)):
+        end = bisect_left(total, total[i] + least)
+        if end < len(total):
+            out.add((i, end))
+        start = bisect_right(total, total[i + 1] - least) - 1
+        if start >= 0:
+            out.add((start, i + 1))
+    return out
+
+
 def common_lines(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Positions in ``b`` of the lines in common blocks of ``min_words`` words or more."""
-    out: list[int] = []
+    """Positions in ``b`` of the lines in common blocks of ``min_words`` words or more.
+
+    What the diff leaves unmatched (passages that stand twice, or in another order)
+    is looked up by its shortest runs, so no common block remains.
+    """
+    out: set[int] = set()
     run: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in run) >= min_words:
-                out += run
+                out.update(run)
             run = []
         run.append(j)
         last = (i, j)
-    return out
+    there = set(a)
+    if any(x in there for j, x in enumerate(b) if j not in out):
+        size = dict(zip(b, words, strict=True))
+        # a line that only ``a`` has ends a run, whatever its size
+        held = {tuple(a[i:j]) for i, j in _shortest([size.get(x, min_words) or 1 for x in a], min_words)}
+        for i, j in _shortest(words, min_words):
+            if tuple(b[i:j]) in held:
+                out.update(range(i, j))
+    return sorted(out)
 
 
 def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:

@@ -96,3 +96,29 @@ def test_odd_rows(odd, clashing, empty, documents):
     text = "\n".join(f"l{i} " + "a b c d e f" for i in range(5))
     got = {g.doc_id: g.text for g in linedup.drop_common_blocks(documents([(1, text), (2, text), (None, text)])).collect()}
     assert got == {1: text, 2: "", None: text}
+
+
+def every_run(a, b, words, min_words):
+    """Lines of ``b`` in a run of ``min_words`` words or more that ``a`` holds anywhere, by trying all starts."""
+    gone = set()
+    for p in range(len(a)):
+        for q in range(len(b)):
+            n = 0
+            while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                n += 1
+            if sum(words[q : q + n]) >= min_words:
+                gone.update(range(q, q + n))
+    return sorted(gone)
+
+
+def test_repeated_and_swapped_passages_go():
+    p, q = ["p1", "p2"], ["q1", "q2", "q3"]
+    for a, b in ((["x", *p, "y", *p, "z"], ["u", *p, "v"]), (["x", *p, "y"], ["u", *p, "v", *p, "w"]), ([*p, "x", *q], ["u", *q, "v", *p, "w"])):
+        words = [15] * len(b)
+        assert linedup.common_lines(a, b, words, 25) == [j for j, x in enumerate(b) if x[0] in "pq"]
+    r = random.Random(6)
+    for _ in range(2000):
+        size = {c: r.randrange(1, 12) for c in "abcde"}
+        a, b = ([r.choice("abcde"[: r.randrange(1, 6)]) for _ in range(r.randrange(0, 16))] for _ in "ab")
+        words = [size[x] for x in b]
+        assert linedup.common_lines(a, b, words, 15) == every_run(a, b, words, 15)
