@@ -1,11 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-1. A line's key is a hash of its trimmed bytes.  Each line names the earliest
-   document that holds it (a pre-aggregated minimum: a line that a third of all
-   documents share costs one row a task), and a document's partners are the
-   earlier documents that its lines name.  Rare lines so find the overlaps, and a
-   frequent line leads to one partner, not to all of its holders: pairs never
-   outnumber lines, without a cap.
+1. A line's key is a hash of its trimmed bytes.  The shortest runs of lines with
+   ``min_words`` words, from each line on and up to each line, are keyed too.  Each
+   run names the earliest document that holds it (a pre-aggregated minimum: a run
+   that a third of all documents share costs one row a task), and a document's
+   partners are the earlier documents that its runs name.  Every line of a common
+   block is in a run inside the block, and the run's earliest holder has it whole,
+   so each block of any earlier document is found; a frequent run leads to one
+   partner, not to all of its holders: pairs never outnumber runs, two a line,
+   without a cap.
 2. Each pair is aligned by patience diff: lines that occur once in both, in their
    longest increasing order, are anchors; between anchors the same again; equal
    lines next to the ends of a gap are matched.
@@ -42,6 +45,7 @@ from quadloom.llm import bytescan as B
 from quadloom.plans.scratch import materialize
 
 ADDED = ("n_lines", "removed_lines", "removed_words")
+LINES = 1 << 17  # lines whose runs are keyed at a time
 
 
 def line_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,16 +80,48 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, text_hash long, keys binary, words binary")
 
 
-def postings(lines: DataFrame, link_words: int) -> DataFrame:
-    """(key, doc_id, text_hash) for the distinct lines of ``link_words`` words or more."""
+def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: int, link_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and row of the shortest runs of ``min_words`` words or more from each line on and up to each line.
+
+    Row r has the lines from ``edge[r]`` to ``edge[r + 1]``.  Runs in which no line has ``link_words`` words are left out.
+    """
+    n = len(keys)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    row = np.searchsorted(edge, np.arange(n), "right") - 1
+    least = max(min_words, 1)
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    on, up = np.flatnonzero(stop <= edge[row + 1]), np.flatnonzero(start >= edge[row])
+    starts, stops, row = np.concatenate([on, start[up]]), np.concatenate([stop[on], up + 1]), np.concatenate([row[on], row[up]])
+    long = np.concatenate([[0], np.cumsum(words >= link_words)])
+    linked = long[stops] > long[starts]
+    starts, stops, row = starts[linked], stops[linked], row[linked]
+    powers, inverse = B.powers(n + 1)
+    rolling = np.zeros(n + 1, B.U64)
+    np.cumsum(B.mix64(keys) * powers[:n], out=rolling[1:])
+    found = B.mix64((rolling[stops] - rolling[starts]) * inverse[starts] + (stops - starts).astype(B.U64))
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+    return found[new], row[new]
+
+
+def postings(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
+    """(key, doc_id, text_hash) for the distinct shortest runs of ``min_words`` words or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.unique(np.frombuffer(k, np.int64)[np.frombuffer(w, "<i4") >= link_words]) for k, w in zip(batch.column("keys").to_pylist(), batch.column("words").to_pylist(), strict=True)]
-            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("doc_id").take(at), batch.column("text_hash").take(at)], ["key", "doc_id", "text_hash"])
+            keys, words = batch.column("keys").to_pylist(), batch.column("words").to_pylist()
+            edge = np.concatenate([[0], np.cumsum([len(k) // 8 for k in keys], dtype=np.int64)])
+            lo = 0
+            while lo < len(keys):
+                # rows of a bounded number of lines; a longer document is a part of its own
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + LINES, "right")) - 1)
+                found, row = run_keys(np.frombuffer(b"".join(keys[lo:hi]), B.U64), np.frombuffer(b"".join(words[lo:hi]), "<i4"), edge[lo : hi + 1] - edge[lo], min_words, link_words)
+                at = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("doc_id").take(at), batch.column("text_hash").take(at)], ["key", "doc_id", "text_hash"])
+                lo = hi
 
     return lines.mapInArrow(scan, "key long, doc_id long, text_hash long")
 
@@ -186,10 +222,10 @@ def common_lines(a: list, b: list, words: list[int], min_words: int) -> list[int
 
 def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
     """doc_id, text_hash and ``hits``: for each partner the positions of lines to remove (4 bytes each)."""
-    p = postings(lines.filter("doc_id is not null"), link_words)
+    p = postings(lines.filter("doc_id is not null"), link_words, min_words)
     holders = p.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("_last"))
     holders = holders.filter("first.doc_id < _last").select("key", F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"))
-    # read back, so that the join shuffles both sides and can split a hot line
+    # read back, so that the join shuffles both sides and can split a hot run
     holders = materialize(holders, "holders").hint("merge")
     pairs = p.join(holders, "key").filter("a_id < doc_id").select("doc_id", "text_hash", "a_id", "a_hash").distinct()
     earlier = lines.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("keys").alias("a_keys"))
@@ -207,7 +243,7 @@ def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(hits, pa.binary())], ["doc_id", "text_hash", "hits"])
 
     found = pairs.select("doc_id", "text_hash", "a_keys", "keys", "words").mapInArrow(scan, "doc_id long, text_hash long, hits binary")
-    # a document has no more partners than lines
+    # a document has no more than two partners a line
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"))
 
 

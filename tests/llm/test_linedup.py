@@ -122,3 +122,25 @@ def test_repeated_and_swapped_passages_go():
         a, b = ([r.choice("abcde"[: r.randrange(1, 6)]) for _ in range(r.randrange(0, 16))] for _ in "ab")
         words = [size[x] for x in b]
         assert linedup.common_lines(a, b, words, 15) == every_run(a, b, words, 15)
+
+
+def brute_all(rows, min_words=25):
+    """doc_id: the lines in a run of ``min_words`` words or more that any earlier document holds."""
+    lines = {i: [x.strip() for x in t.split("\n") if x.split()] for i, t in rows}
+    out = {}
+    for i, own in lines.items():
+        words = [len(x.split()) for x in own]
+        out[i] = len(set().union(*[every_run(lines[a], own, words, min_words) for a in lines if a < i]))
+    return out
+
+
+def test_blocks_of_lines_that_stand_alone_before(documents):
+    r = random.Random(4)
+    line = lambda n=10: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    passage = [line() for _ in range(6)]
+    rows = [(i, "\n".join([line(), x, line()])) for i, x in enumerate(passage)]
+    rows += [(i, "\n".join([line(), *passage, line()])) for i in (10, 11)]
+    pool = [line(r.randrange(5, 30)) for _ in range(12)]
+    rows += [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 8)))) for i in range(20, 60)]
+    got = {g.doc_id: g.removed_lines for g in linedup.drop_common_blocks(documents(rows)).collect()}
+    assert got == brute_all(rows) and got[10] == 0 and got[11] == 6
