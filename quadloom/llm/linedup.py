@@ -8,7 +8,7 @@
    block is in a run inside the block, and the run's earliest holder has it whole,
    so each block of any earlier document is found; a frequent run leads to one
    partner, not to all of its holders: pairs never outnumber runs, two a line,
-   without a cap.
+   without a cap.  A short line links within its runs only, never alone.
 2. Each pair is aligned by patience diff: lines that occur once in both, in their
    longest increasing order, are anchors; between anchors the same again; equal
    lines next to the ends of a gap are matched.
@@ -80,10 +80,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, text_hash long, keys binary, words binary")
 
 
-def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: int, link_words: int) -> tuple[np.ndarray, np.ndarray]:
+def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Key and row of the shortest runs of ``min_words`` words or more from each line on and up to each line.
 
-    Row r has the lines from ``edge[r]`` to ``edge[r + 1]``.  Runs in which no line has ``link_words`` words are left out.
+    Row r has the lines from ``edge[r]`` to ``edge[r + 1]``.
     """
     n = len(keys)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
@@ -93,9 +93,6 @@ def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: i
     start = np.searchsorted(total, total[1:] - least, "right") - 1
     on, up = np.flatnonzero(stop <= edge[row + 1]), np.flatnonzero(start >= edge[row])
     starts, stops, row = np.concatenate([on, start[up]]), np.concatenate([stop[on], up + 1]), np.concatenate([row[on], row[up]])
-    long = np.concatenate([[0], np.cumsum(words >= link_words)])
-    linked = long[stops] > long[starts]
-    starts, stops, row = starts[linked], stops[linked], row[linked]
     powers, inverse = B.powers(n + 1)
     rolling = np.zeros(n + 1, B.U64)
     np.cumsum(B.mix64(keys) * powers[:n], out=rolling[1:])
@@ -107,7 +104,7 @@ def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: i
     return found[new], row[new]
 
 
-def postings(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
+def postings(lines: DataFrame, min_words: int) -> DataFrame:
     """(key, doc_id, text_hash) for the distinct shortest runs of ``min_words`` words or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +115,7 @@ def postings(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
             while lo < len(keys):
                 # rows of a bounded number of lines; a longer document is a part of its own
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + LINES, "right")) - 1)
-                found, row = run_keys(np.frombuffer(b"".join(keys[lo:hi]), B.U64), np.frombuffer(b"".join(words[lo:hi]), "<i4"), edge[lo : hi + 1] - edge[lo], min_words, link_words)
+                found, row = run_keys(np.frombuffer(b"".join(keys[lo:hi]), B.U64), np.frombuffer(b"".join(words[lo:hi]), "<i4"), edge[lo : hi + 1] - edge[lo], min_words)
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("doc_id").take(at), batch.column("text_hash").take(at)], ["key", "doc_id", "text_hash"])
                 lo = hi
@@ -220,9 +217,9 @@ def common_lines(a: list, b: list, words: list[int], min_words: int) -> list[int
     return sorted(out)
 
 
-def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
+def overlaps(lines: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text_hash and ``hits``: for each partner the positions of lines to remove (4 bytes each)."""
-    p = postings(lines.filter("doc_id is not null"), link_words, min_words)
+    p = postings(lines.filter("doc_id is not null"), min_words)
     holders = p.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("_last"))
     holders = holders.filter("first.doc_id < _last").select("key", F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"))
     # read back, so that the join shuffles both sides and can split a hot run
@@ -247,13 +244,13 @@ def overlaps(lines: DataFrame, link_words: int, min_words: int) -> DataFrame:
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"))
 
 
-def drop_common_blocks(docs: DataFrame, min_words: int = 25, link_words: int = 5) -> DataFrame:
+def drop_common_blocks(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """``docs`` without the lines that repeat blocks of earlier documents, plus n_lines, removed_lines, removed_words."""
     docs = carry(docs, ("doc_id", "text"), (*ADDED, "_hash", "_hit_id", "_hit_hash", "_hits"))
     d = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     lines = materialize(line_table(d), "lines").dropDuplicates(["doc_id", "text_hash"])
     lines = materialize(lines, "documents-lines")
-    hits = materialize(overlaps(lines, link_words, min_words), "overlaps")
+    hits = materialize(overlaps(lines, min_words), "overlaps")
     names, at = docs.columns, docs.columns.index("text")
     hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("hits").alias("_hits"))
     # the texts are shuffled by their documents at every size; the side with the hits is the hash table

@@ -144,3 +144,13 @@ def test_blocks_of_lines_that_stand_alone_before(documents):
     rows += [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 8)))) for i in range(20, 60)]
     got = {g.doc_id: g.removed_lines for g in linedup.drop_common_blocks(documents(rows)).collect()}
     assert got == brute_all(rows) and got[10] == 0 and got[11] == 6
+
+
+def test_blocks_of_short_lines(documents):
+    r = random.Random(5)
+    line = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    verse, pool = [line(4) for _ in range(20)], [line(r.randrange(1, 5)) for _ in range(6)]
+    rows = [(1, "\n".join(verse)), (2, "\n".join([line(3), *verse, line(30)])), (3, "\n".join(verse[5:11]))]
+    rows += [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 30)))) for i in range(10, 40)]
+    got = {g.doc_id: g.removed_lines for g in linedup.drop_common_blocks(documents(rows)).collect()}
+    assert got == brute_all(rows) and (got[1], got[2], got[3]) == (0, 20, 0)
