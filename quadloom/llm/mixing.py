@@ -5,12 +5,14 @@ DataFrame functions only.  The plan is:
 1. one scan of the texts counts words; what follows moves narrow rows only;
 2. a small table of sources gets weights, targets (water-filling under a cap of
    ``max_repeat`` times a source's size) and, for each output shard, an integer
-   number of equal blocks by Sainte-Laguë's highest quotients;
+   number of words by Sainte-Laguë's highest quotients, so that a source however
+   small gets its target;
 3. each source's documents are laid end to end in seeded order, by a prefix sum
    in two steps: inside (source, hash range) and over the sums of the ranges.
    A source with a third of all rows is dealt over thousands of ranges;
-4. a seeded permutation of a source's blocks says which of them the quota
-   takes; a document takes the words of its chosen blocks.
+4. the source is cut in equal blocks (the last is shorter) and a seeded
+   permutation lays them in order; the quota takes that order's first words, and
+   a document takes the words it has among them.
 
 Defined cases: null source is a source of its own, last in order; null or empty
 text has size 0 and takes nothing; a source without words has target 0; an
@@ -34,6 +36,8 @@ PRIME = 2147483647
 #: Columns of ``mix``, of which the first stays.
 ADDED = ("mix_repeat", "row_key_a", "row_key_b", "_a", "_b", "_n", "_at", "_size", "_spans", "_mine", "_tokens")
 RANGES = 12  # bits of the hash that name a range
+ONE_WORD = 1 << 62  # so many blocks that each is one word
+SPANS = "array<struct<repeat:int,shard:int,first:bigint,words:bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -116,7 +120,8 @@ def plan_mix(
 
     Returns doc_id, source, size, row_key_a, row_key_b, source_size, target, taken and ``spans``:
     array of (repeat, shard, first word from 0, words).  ``blocks`` is about the
-    number of blocks of the whole mix; a source ends within two blocks of its target.
+    number of blocks of the whole mix, which are the grain of the selection only:
+    words are apportioned one by one, and a source takes its quota to the word.
     """
     if max_repeat < 1 or shards < 1 or blocks < shards:
         raise ValueError("max_repeat and shards are 1 or more, blocks no fewer than shards")
@@ -134,29 +139,48 @@ def plan_mix(
     offsets = ranges.select("_key", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     sizes = ranges.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes.drop("_key"), weights, share, max_repeat)
-    quotas = block_quotas(targets, shards, blocks, max_repeat)
+    # blocks of one word: quotas and shards' ends are in words
+    quotas = block_quotas(targets, shards, ONE_WORD, max_repeat)
+    quotas = quotas.withColumn("block", F.greatest(F.lit(1.0), F.ceil(F.sum("target").over(Window.partitionBy()) / blocks)).cast("long"))
+    quotas = quotas.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     quotas = quotas.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "rank", "weight")
     d = d.join(offsets, ["_key", "_range"]).join(quotas, "_key")
     end = F.col("_offset") + F.col("_upto")
     d = d.withColumn("_end", end).withColumn("_start", end - F.col("size"))
     shift = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "_key"), F.greatest("n_blocks", F.lit(1)))
     d = d.withColumn("_shift", shift)
+    # the last block lacks some words, so the blocks after it in the permutation come that much sooner
+    d = d.withColumn("_lacks", F.col("n_blocks") * F.col("block") - F.col("source_size"))
+    d = d.withColumn("_last", ((F.col("n_blocks") - 1) * F.lit(PRIME) + F.col("_shift")) % F.greatest("n_blocks", F.lit(1)))
 
     def cut(b: Column) -> Column:
         lo = F.greatest(F.col("_start"), b * F.col("block"))
         hi = F.least(F.col("_end"), (b + 1) * F.col("block"))
         place = (b * F.lit(PRIME) + F.col("_shift")) % F.col("n_blocks")
-        return F.struct(place.alias("place"), (lo - F.col("_start")).alias("first"), (hi - lo).alias("words"))
+        begin = place * F.col("block") - F.when(place > F.col("_last"), F.col("_lacks")).otherwise(0)
+        return F.struct((begin + lo - b * F.col("block")).alias("at"), (lo - F.col("_start")).alias("first"), (hi - lo).alias("words"))
+
+    def shard_at(word: Column) -> Column:
+        return F.size(F.filter("until", lambda u: u <= word))
 
     def taken_in(r: int) -> Column:
-        seat = lambda x: x["place"] + r * F.col("n_blocks")
-        chosen = F.filter("_cuts", lambda x: seat(x) < F.col("quota"))
-        shard = lambda x: F.size(F.filter("until", lambda u: u <= seat(x))).cast("int")
-        return F.transform(chosen, lambda x: F.struct(F.lit(r).alias("repeat"), shard(x).alias("shard"), x["first"].alias("first"), x["words"].alias("words")))
+        def spans(x: Column) -> Column:
+            """The words of a cut that the quota takes, a span for each shard they lie in."""
+            lo = x["at"] + r * F.col("source_size")
+            hi = F.least(lo + x["words"], F.col("quota"))
+
+            def span(k: Column) -> Column:
+                begin = F.greatest(lo, F.when(k > 0, F.element_at("until", F.greatest(k, F.lit(1)))).otherwise(0))
+                return F.struct(F.lit(r).alias("repeat"), k.alias("shard"), (x["first"] + begin - lo).alias("first"), (F.least(hi, F.element_at("until", k + 1)) - begin).alias("words"))
+
+            inside = F.transform(F.sequence(shard_at(lo), shard_at(hi - 1)), span)
+            return F.when(lo < hi, F.filter(inside, lambda y: y["words"] > 0)).otherwise(F.array().cast(SPANS))
+
+        return F.flatten(F.transform("_cuts", spans))
 
     blocks_of = F.sequence((F.col("_start") / F.col("block")).cast("long"), ((F.col("_end") - 1) / F.col("block")).cast("long"))
     d = d.withColumn("_cuts", F.when(F.col("size") > 0, F.transform(blocks_of, cut)))
-    d = d.withColumn("spans", F.coalesce(F.concat(*[taken_in(r) for r in range(max_repeat)]), F.array().cast("array<struct<repeat:int,shard:int,first:bigint,words:bigint>>")))
+    d = d.withColumn("spans", F.coalesce(F.concat(*[taken_in(r) for r in range(max_repeat)]), F.array().cast(SPANS)))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return d.select("doc_id", "source", "size", "row_key_a", "row_key_b", "source_size", "target", taken.alias("taken"), "spans")
 

@@ -59,6 +59,23 @@ def test_targets_and_taken(documents, seed):
         assert abs(taken[s] - want[s]) <= 4 * block
 
 
+def test_small_sources_meet_their_targets(documents):
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * 400), None, "big") for i in range(60)]
+    rows += [(100 + i, " ".join(["w"] * r.randrange(1, 60)), None, f"s{i % 50}") for i in range(150)]
+    got = mixing.plan_mix(documents(rows), blocks=16).collect()
+    want, taken, shards = {g.source: g.target for g in got}, {}, [0] * 16
+    for g in got:
+        at = sorted((x.repeat, x.first, x.first + x.words) for x in g.spans)
+        assert all(a < b <= g.size for _, a, b in at) and all((p[0], p[2]) <= q[:2] for p, q in zip(at, at[1:], strict=False))
+        assert g.taken == sum(x.words for x in g.spans)
+        taken[g.source] = taken.get(g.source, 0) + g.taken
+        for x in g.spans:
+            shards[x.shard] += x.words
+    # a block is more than the half of all small sources
+    assert all(abs(taken[s] - want[s]) <= 2 for s in want) and max(shards) - min(shards) <= 1
+
+
 def test_reruns_and_partitions_agree(documents):
     rows = corpus(2)
     a, b = (sorted(map(str, mixing.plan_mix(documents(rows, p)).collect())) for p in (1, 7))
