@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions.frames import pick
@@ -129,7 +129,8 @@ class Model:
 def viterbi(scores: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word; all texts advance together, a word at a time."""
     n, states = scores.shape
-    path = np.zeros(n, np.int8)
+    kind = np.int8 if states <= 127 else np.int32
+    path = np.zeros(n, kind)
     if not n:
         return path
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -137,8 +138,8 @@ def viterbi(scores: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     starts, length = starts[order], length[order]
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
-    back = np.zeros((n, states), np.int8)
-    own = np.arange(states, dtype=np.int8)
+    back = np.zeros((n, states), kind)
+    own = np.arange(states, dtype=kind)
     best = scores[starts].copy()
     for t in range(1, length[0]):
         k = active[t]
@@ -158,15 +159,27 @@ def viterbi(scores: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 8000, penalty: float = 6.0, least_share: float = 0.001) -> Model:
-    """Learn from at most ``max_docs`` documents with a language, outside fold ``held_out``.
+def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 8000, penalty: float = 6.0, least_share: float = 0.001, per_lang: int = 500) -> Model:
+    """Learn from ``max_docs`` documents with a language, and ``per_lang`` of each language if those have fewer, outside fold ``held_out``.
+
+    Each language's counts are normalized on their own, so the sizes of the samples need no weights.
 
     A language counts as seen in a script that holds ``least_share`` of its letters.
     """
     d = pick(docs, "doc_id", "lang", "text")
     ids = d.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    ids = ids.select("doc_id", "lang").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_docs)
-    # at most max_docs short rows
+    ids = ids.select("doc_id", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("_at"))
+    # by its hash a document is among the first few of all or of its language or not, so that few rows are ranked;
+    # a language's first is always there, also where rows repeat doc_ids
+    size = ids.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    size = size.withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    share = F.col("_at") / F.lit(2.0**64) + 0.5
+    ids = ids.join(F.broadcast(size), "lang")
+    first = ids.filter((share * F.col("_n") < 2 * per_lang + 100) | (F.col("_at") == F.col("_first")))
+    first = first.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id"))).filter(F.col("_rank") <= per_lang)
+    ids = ids.filter(share * F.col("_all") < 2 * max_docs + 100).orderBy("_at", "doc_id").limit(max_docs)
+    ids = ids.select("doc_id", "lang").unionAll(first.select("doc_id", "lang"))
+    # at most max_docs short rows, and per_lang of each language
     sample = d.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

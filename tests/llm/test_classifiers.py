@@ -172,3 +172,21 @@ def test_lines():
     own, row, length, begin = crf.lines_of(buf, offs)
     assert row.tolist() == [0, 0, 2, 2] and begin.tolist() == [0, 5, 11, 16] and length.tolist() == [2, 4, 4, 4]
     assert own.shape == (4, crf.OWN) and own[0, 0] == 0.5 and own[1, 4] == 0.5
+
+
+def test_a_rare_language_is_learned(documents):
+    r = random.Random(3)
+    text = lambda words: " ".join(r.choice(words) for _ in range(20))
+    often, rare = ["the", "house", "which", "stands"], ["zkouq", "vyqax", "jorzz"]
+    rows = [(i, text(often), "en", "s") for i in range(600)] + [(1000 + i, text(rare), "xx", "s") for i in range(6)]
+    d = documents(rows)
+    model = language.train(d, max_docs=20)
+    assert model.langs == ["en", "xx"] and language.train(d, max_docs=20, per_lang=1).langs == ["en", "xx"]
+    got = {g.doc_id: g.lang_pred for g in language.languages(d, model).collect()}
+    assert got == {i: lang for i, _, lang, _ in rows}
+
+
+def test_viterbi_of_many_languages():
+    scores = np.full((3, 300), -20.0, np.float32)
+    scores[:, 250] = 0
+    assert language.viterbi(scores, np.zeros(3, np.int64), 6.0).tolist() == [250] * 3
