@@ -11,8 +11,9 @@ quality is their mean, weighted by line length and calibrated on the sample.
 Defined cases: a null or blank text has no lines and gets the calibrated score
 of a document whose lines are all bad; a sample without both labels gives score
 1 (0) to every text; other columns are ignored or carried; repeated rows are
-scored each.  Training documents with more than ``max_lines`` lines are left out
-of the sample (they are scored like all others).
+scored each.  Training documents with more than ``max_lines`` lines, and those
+beyond ``max_total_lines`` in all, are left out of the sample (they are scored
+like all others).
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 
 from quadloom.functions.frames import carry, pick
 from quadloom.llm import bytescan as B
-from quadloom.llm.samples import labelled_sample
+from quadloom.llm.samples import labelled_sample, within
+from quadloom.plans.scratch import materialize
 
 #: Classes of bytes that are counted in each line.
 CLASSES = {
@@ -194,8 +196,11 @@ def _features(texts: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np
         yield lo, hi, own, row, length
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = 2000, max_lines: int = 2000, steps: int = 60, l2: float = 1e-3) -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class, outside fold ``held_out``."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, per_class: int = 2000, max_lines: int = 2000, max_total_lines: int = 400_000, steps: int = 60, l2: float = 1e-3) -> Model:
+    """Fit on at most ``per_class`` labelled documents of each class, outside fold ``held_out``, that have ``max_total_lines`` lines together.
+
+    A line takes some 600 bytes on the driver.
+    """
     sample = labelled_sample(docs, labels, label, folds, held_out, per_class)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
                 short = np.flatnonzero(count <= max_lines)
                 cells = [np.concatenate([own[edge[i] : edge[i + 1]], length[edge[i] : edge[i + 1], None]], 1).astype("<f4").tobytes() for i in short]
                 at = pa.array(short)
-                yield pa.RecordBatch.from_arrays([part.column("label").take(at), part.column("weight").take(at), pa.array(cells, pa.binary())], ["label", "weight", "lines"])
+                columns = [*[part.column(c).take(at) for c in ("at", "label", "weight")], pa.array(count[short].astype(np.int64)), pa.array(cells, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["at", "label", "weight", "size", "lines"])
 
-    # at most 2 * per_class documents of max_lines lines
-    rows = sample.mapInArrow(measured, "label int, weight double, lines binary").toArrow()
+    # at most 2 * per_class documents, max_total_lines lines of (OWN + 1) * 4 bytes
+    rows = materialize(sample.mapInArrow(measured, "at long, label int, weight double, size long, lines binary"), "quality-lines")
+    rows = within(rows, max_total_lines).toArrow()
     # a defined order, whatever order the tasks ended in
     rows = sorted(zip(rows["label"].to_pylist(), rows["weight"].to_pylist(), rows["lines"].to_pylist(), strict=True))
     classes = {r[0] for r in rows}

@@ -9,14 +9,15 @@ sentences at fault.
 Words are runs of ASCII letters, digits and bytes beyond ASCII, lower-cased in
 A-Z; a word's signs are itself and its first 4, 5 and 6 characters, so that one
 stem stands for its inflected forms.  Sentences end at ``. ! ?`` and line ends.
-Only signs that are found far more often in toxic documents than in others get a
-weight: what is not a sign must not make a long or repetitive text suspicious.
+Only signs that are found far more often in toxic documents than in others, by
+documents or by their sentences, get a weight: what is not a sign must not make a
+long or repetitive text suspicious.
 
 Defined cases: null, blank or wordless texts have no sentence and score 0; a
 sample without both labels gives score 1 (0) to every text with a word; unknown
 signs weigh nothing; other columns are ignored; repeated rows are scored each.
-Training documents of more than ``max_words`` words are left out of the sample
-(they are scored like all others).
+Training documents of more than ``max_words`` words, and those beyond ``max_hits``
+signs in all, are left out of the sample (they are scored like all others).
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.frames import pick
 from quadloom.llm import bytescan as B
 from quadloom.llm.crf import ascend, sigmoid
-from quadloom.llm.samples import labelled_sample
+from quadloom.llm.samples import labelled_sample, within
 from quadloom.plans.scratch import materialize
 
 GAP = np.ones(256, bool)
@@ -93,12 +94,16 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_words: int = 20000, least_docs: int = 3, least_z: float = 4.0, steps: int = 150, l2: float = 1e-6
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_words: int = 20000, max_hits: int = 8_000_000,
+    least_docs: int = 3, least_z: float = 4.0, sentence_z: float = 5.5, support_z: float = 2.0, steps: int = 150, l2: float = 3e-3,
 ) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, outside fold ``held_out``.
 
-    A sign gets a weight if it is in ``least_docs`` documents of the sample and its
-    share among toxic ones exceeds that among others by ``least_z`` standard errors (of equal shares).
+    A sign gets a weight if it is in ``least_docs`` documents of the sample and its share
+    among toxic ones exceeds that among others by ``least_z`` standard errors (of equal shares).
+    A sign of two toxic documents may still stand out in them: ``support_z`` errors are
+    enough if its share of their sentences exceeds that of others by ``sentence_z`` errors.
+    ``l2`` is the weights' penalty beside the likelihood of the whole sample.
     """
     sample = materialize(labelled_sample(docs, labels, label, folds, held_out, per_class), "toxic-sample")
 
@@ -117,27 +122,42 @@ def train(
         for batch in batches:
             labelled = batch.column("label").to_numpy()
             for lo, _, buf, offs in B.chunks(batch.column("text")):
-                signs, _, row, count = short(buf, offs)
-                order = np.lexsort([signs, row])
-                signs, row = signs[order], row[order]
+                signs, sentence, row, count = short(buf, offs)
+                order = np.lexsort([sentence, signs, row])
+                signs, sentence, row = signs[order], sentence[order], row[order]
                 new = np.ones(len(signs), bool)
                 new[1:] = (signs[1:] != signs[:-1]) | (row[1:] != row[:-1])
+                held = new.copy()
+                held[1:] |= sentence[1:] != sentence[:-1]
+                first = np.flatnonzero(new)
+                times = np.add.reduceat(held.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
                 full = np.flatnonzero(count)  # each document itself, as the null sign
                 sign = pa.concat_arrays([pa.array(signs[new].view(np.int64)), pa.nulls(len(full), pa.int64())])
-                yield pa.RecordBatch.from_arrays([sign, pa.array(labelled[lo + np.r_[row[new], full]])], ["sign", "label"])
+                label_of = labelled[lo + np.r_[row[new], full]].astype(np.int64)
+                times = np.r_[times, count[full]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([sign, pa.array(label_of), pa.array(times), pa.array(times * label_of)], ["sign", "label", "sentences", "toxic_sentences"])
 
-    counts = sample.mapInArrow(listed, "sign long, label int").groupBy("sign").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    counts = sample.mapInArrow(listed, "sign long, label long, sentences long, toxic_sentences long").groupBy("sign")
+    counts = counts.agg(F.sum("label").alias("toxic"), F.count("*").alias("n"), F.sum("sentences").alias("sentences"), F.sum("toxic_sentences").alias("toxic_sentences"))
     counts = materialize(counts, "signs")
     whole = counts.filter("sign is null").first()
     n_toxic, n_clean = (whole.toxic, whole.n - whole.toxic) if whole else (0, 0)
     none = np.zeros(0, np.uint64)
     if not (n_toxic and n_clean):
         return Model(none, np.zeros(0), -40.0, float(bool(n_toxic)))
-    pooled = F.col("n") / (n_toxic + n_clean)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
-    excess = F.col("toxic") / n_toxic - (F.col("n") - F.col("toxic")) / n_clean
+
+    def errors(hits: Column, toxic_hits: Column, size: int, toxic_size: int) -> Column:
+        """By how many standard errors of equal shares the share of toxic units with the sign exceeds that of others."""
+        pooled = hits / size
+        error = F.sqrt(pooled * (1 - pooled) * (1 / toxic_size + 1 / (size - toxic_size)))
+        return F.try_divide(toxic_hits / toxic_size - (hits - toxic_hits) / (size - toxic_size), error)
+
+    by_docs = errors(F.col("n"), F.col("toxic"), whole.n, n_toxic)
+    by_sentences = errors(F.col("sentences"), F.col("toxic_sentences"), whole.sentences, whole.toxic_sentences)
+    often = (F.col("n") >= least_docs) & (by_docs > least_z)
+    stands_out = often | ((F.col("toxic") >= 2) & (by_docs > support_z) & (by_sentences > sentence_z))
     # of the sample's signs only those that are found in several toxic documents of at most per_class
-    found = counts.filter(F.col("sign").isNotNull() & (F.col("n") >= least_docs) & (excess > least_z * error)).select("sign").toArrow()
+    found = counts.filter(F.col("sign").isNotNull() & stands_out).select("sign").toArrow()
     word = np.sort(found["sign"].to_numpy().view(np.uint64))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +172,18 @@ def train(
                 cells = [pairs[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 full = pa.array(np.flatnonzero(count))
                 part = batch.slice(lo, hi - lo)
-                columns = [part.column("label"), part.column("weight"), pa.array(count), pa.array(cells, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.take(full) for c in columns], ["label", "weight", "count", "hits"])
+                size = pa.array(np.diff(edge) + count)
+                columns = [part.column("at"), part.column("label"), part.column("weight"), pa.array(count), size, pa.array(cells, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.take(full) for c in columns], ["at", "label", "weight", "count", "size", "hits"])
 
-    # at most 2 * per_class documents, of each the occurrences of the chosen signs
-    rows = sample.mapInArrow(measured, "label int, weight double, count long, hits binary").toArrow()
+    # at most 2 * per_class documents, of each the occurrences of the chosen signs, max_hits and as many sentences in all
+    rows = materialize(sample.mapInArrow(measured, "at long, label int, weight double, count long, size long, hits binary"), "toxic-hits")
+    rows = within(rows, max_hits).toArrow()
     # a defined order, whatever order the tasks ended in
     rows = sorted(zip(*[rows[c].to_pylist() for c in ("label", "weight", "count", "hits")], strict=True))
     y = np.array([r[0] for r in rows], float)
+    if len(set(y)) < 2:
+        return Model(none, np.zeros(0), -40.0, float(bool(y.sum())))
     weight = np.array([r[1] for r in rows])
     weight /= weight.sum()
     count = np.array([r[2] for r in rows])
@@ -174,7 +198,7 @@ def train(
         doc = np.clip(noisy_or(p, owner, len(rows)), 1e-9, 1 - 1e-9)
         # d log-likelihood / d sentence score: (y / doc - 1) * p for a noisy-or of logistic parts
         g = (weight * (y / doc - 1))[owner] * p
-        return np.r_[g.sum(), np.bincount(at, g[sentence], m) - l2 * x[1:]]
+        return np.r_[g.sum(), np.bincount(at, g[sentence], m) - l2 / len(rows) * x[1:]]
 
     # a start at which a document without signs has about the toxic share
     start = np.r_[np.log(max(1e-6, (weight * y).sum()) / max(1.0, float(np.median(count)))), np.zeros(m)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm import bytescan as B
 from quadloom.llm import crf, language, queries, toxicity
-from quadloom.llm.samples import fold, labelled_sample
+from quadloom.llm.samples import fold, labelled_sample, within
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,8 +44,8 @@ def test_quality_held_out(spark, tables):
 
 def test_toxicity_held_out(spark, tables):
     got = queries.op1_noisy_or_toxicity(spark, SF).join(tables[1], "doc_id").filter("held_out").collect()
-    assert np.mean([g.predicted == g.toxic for g in got]) > 0.93
-    assert np.mean([g.predicted == 0 for g in got if not g.toxic]) > 0.98
+    assert np.mean([g.predicted for g in got if g.toxic]) >= 0.9
+    assert not any(g.predicted for g in got if not g.toxic)
 
 
 def test_language_held_out(spark, tables):
@@ -53,6 +53,44 @@ def test_language_held_out(spark, tables):
     assert len(got) == 1000 and np.mean([g.lang_pred == g.lang for g in got if g.held_out]) > 0.98
 
 
+def test_whole_scores_against_a_plain_noisy_or(spark, tables):
+    """Every document's score from the trained weights, by regular expressions and dictionaries."""
+    import re
+
+    docs, labels = tables
+    model = toxicity.train(docs, labels)
+    got = {g.doc_id: g for g in toxicity.toxic_sentences(docs, model).collect()}
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    known = {}
+
+    def value(sign, k):
+        if (sign, k) not in known:
+            raw = np.frombuffer(sign.encode(), np.uint8)
+            h = int(B.span_hash(raw, np.array([0]), np.array([len(raw)]))[0])
+            known[sign, k] = weight.get(h ^ k, 0.0)
+        return known[sign, k]
+
+    for i, text in rows.items():
+        clean = 1.0
+        for part in re.split(r"[.!?\n\r]", (text or "").translate(low)):
+            words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", part)
+            if words:
+                total = model.bias + sum(value(w, 0) + sum(value(w[:k], k) for k in toxicity.PREFIXES if len(w) >= k) for w in words)
+                clean *= 1 - 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+        assert np.isclose(got[i].score, 1 - clean, atol=1e-6), i
+
+
+def test_samples_stay_within_their_budget(spark, tables):
+    docs, labels = tables
+    small = toxicity.train(docs, labels, max_hits=3000)
+    assert small.constant is None and len(small.words) > 0
+    assert np.isfinite(crf.train(docs, labels, max_total_lines=200, steps=10).weights).all()
+    rows = spark.createDataFrame([(5, 10), (1, 4), (3, 4), (9, 1)], "at long, size long")
+    assert {r.at for r in within(rows, 8).collect()} == {1, 3} and within(rows, 3).count() == 0
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, tables):
     docs, labels = tables
     flipped = labels.withColumn("quality", F.when(fold(F.col("doc_id"), 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
