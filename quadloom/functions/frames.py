@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -45,6 +46,19 @@ def carry(df: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = ()) -
     return plain.select(*[F.col(f"_c{i}").alias(c) for i, c in keep])
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that hash functions take: those without a map, whose entries have no order."""
+    return [f.name for f in df.schema.fields if not _has_map(f.dataType)]
+
+
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
