@@ -1,7 +1,11 @@
+import zlib
+
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from quadloom.llm import sharding
+from quadloom.llm import queries, sharding
 
 
 def rows_of(n=400):
@@ -48,4 +52,41 @@ def test_odd_rows(odd, clashing, empty):
     assert sharding.shuffled(empty).count() == 0 and sharding.write_shards(empty).count() == 0
     with pytest.raises(ValueError):
         sharding.shuffled(odd, shards=0)
-    assert sharding.input_bytes(odd.filter(F.col("doc_id") == 1)) == 8
+    with_map = odd.withColumn("m", F.create_map(F.lit("k"), F.array(F.col("doc_id"))))
+    assert sharding.shuffled(with_map, shards=2).count() == 11
+
+
+def spark_hash(seed, *values):
+    """Spark's xxhash64 of integers of 4 bytes (given as ints) and of 8 (as 1-tuples), and of texts."""
+    h = 42
+    for v in (seed, *values):
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_whole_query_against_brute_force(spark):
+    """All columns of op5 at sf0.01 again, by an independent hash, dictionaries and one permutation a shard."""
+    path = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    got = {g.doc_id: g for g in queries.op5_external_shuffle(spark, path).collect()}
+    assert set(got) == set(rows)
+    best = lambda i, n: max(range(n), key=lambda s: (spark_hash(17, (i,), s), s))
+    shards = {}
+    for i, r in rows.items():
+        raw = (r.text or "").encode()
+        g = got[i]
+        assert (g.size, g.text_crc32, g.law, g.shard, g.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "key", best(i, 24), best(i, 25))
+        shards.setdefault(g.shard, []).append(i)
+    for shard, ids in shards.items():  # at this size a shard is one bucket
+        ids.sort(key=lambda i: spark_hash(19, (i,)))
+        order = np.random.Generator(np.random.PCG64([17, shard, 0])).permutation(len(ids))
+        assert [got[ids[k]].slot for k in order] == list(range(len(ids)))
+
+
+def test_tasks_follow_the_bytes(documents):
+    d = documents(rows_of())
+    many = sharding.shuffled(d, shards=5, bucket_bytes=300, bytes_a_task=500)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and many.rdd.getNumPartitions() == 26
+    assert sorted((g.doc_id, g.shard, g.slot) for g in many.collect()) == sorted((g.doc_id, g.shard, g.slot) for g in sharding.shuffled(d, shards=5, bucket_bytes=300).collect())
