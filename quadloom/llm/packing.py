@@ -8,12 +8,14 @@ is known, no bin beyond the fewest possible is opened while one with room is ope
 
 Defined cases: null text is the empty text, one end id; an empty table makes no
 pieces; repeated rows are documents of their own; other columns are ignored, or
-carried by ``pack`` (those named sequence_id or offset give way).
+carried by ``pack`` (those named sequence_id or offset give way).  Rows that differ
+in map columns only, which have no order, may change places between reruns.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.functions.frames import carry, pick
+from quadloom.functions.frames import carry, hashable, pick
 from quadloom.llm import bytescan as B
 
 #: Parts of words whose ids a worker remembers before it starts anew.
@@ -41,6 +43,20 @@ HEAD = (np.arange(256) & 0xC0) != 0x80
 MARK = b"\x00"
 TOGETHER = 2000
 
+# How the tokenizers whose words can be looked up apart normalise and split texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _state(part) -> dict | None:
+    return None if part is None else json.loads(part.__getstate__())
+
 
 class Known:
     """A worker's tokenizer, and the ids of the parts it has met, by hash of the part's bytes.
@@ -56,6 +72,8 @@ class Known:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        #: whether a text's ids are those of its words' parts
+        self.apart = _state(self.tokenizer.normalizer) == NORMALIZER and _state(self.tokenizer.pre_tokenizer) == SPLITTER
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.forget()
@@ -198,8 +216,13 @@ def encode(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np
     """Ids of all rows of a chunk of texts, one after the other, and how many each row has.
 
     Each distinct part of a word is looked up once a chunk, and encoded once a worker.
+    A tokenizer that splits texts in another way encodes each whole.
     """
     known = _known(path)
+    if not known.apart:
+        raw = buf.tobytes()
+        found = known.tokenizer.encode_batch([raw[i:j].decode() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, "<u4") for e in found]), np.array([len(e.ids) for e in found], np.int64)
     low, starts, ends, row = parts_of(buf, offs)
     if not len(starts):
         return np.zeros(0, "<u4"), np.zeros(len(offs) - 1, np.int64)
@@ -285,6 +308,6 @@ def pack(pieces: DataFrame, max_tokens: int = 4096, group_size: int = 32768, see
         out = rows.select(names)
         return out.append_column("sequence_id", pa.array(b * groups + group)).append_column("offset", pa.array(o))
 
-    tie = F.xxhash64(F.lit(seed), *p.columns)
+    tie = F.xxhash64(F.lit(seed), *hashable(p))
     p = p.withColumn("_tie", tie).withColumn("_group", F.pmod("_tie", F.lit(groups)))
     return p.groupBy("_group").applyInArrow(fill, schema)

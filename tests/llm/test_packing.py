@@ -37,6 +37,21 @@ def test_ids_are_the_tokenizers(tokenizer, texts):
             assert ids[edge[k] : edge[k + 1]].tolist() == tokenizer(text)
 
 
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert packing.Known(PATH).apart and not packing.Known(path).apart
+    texts = ["Two words, Three", "", "  é中😀 a\x00b <|endoftext|>", "it's  spaced\n\nout!!"]
+    (_, _, buf, offs), = B.chunks(pa.array(texts))
+    ids, count = packing.encode(buf, offs, path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_a_full_memory_starts_anew(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "PARTS", 50)
     r = random.Random(2)
@@ -117,3 +132,5 @@ def test_odd_rows(odd, clashing, empty):
         assert cut.filter("doc_id = 6").groupBy("piece").count().filter("count <> 2").count() == 0
         assert packing.pack(cut.withColumn("OFFSET", F.lit(1))).count() == cut.count()
     assert packing.pack(packing.pieces(empty, PATH)).count() == 0
+    with_map = packing.pieces(odd, PATH).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert packing.pack(with_map).count() == with_map.count()
