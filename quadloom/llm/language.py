@@ -10,6 +10,7 @@ text's language is the one with most letters; its score is that share.
 Defined cases: null texts and texts without letters are ``und`` with score 0; a
 script that no language was seen in leaves all of them; with nothing to learn
 from every text is ``und``; ties go to the language first in code point order;
+a doc_id with several languages or texts teaches each row's text under its own;
 other columns are ignored; repeated rows are labelled each.
 """
 
@@ -178,9 +179,9 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_docs: int = 80
     first = ids.filter((share * F.col("_n") < 2 * per_lang + 100) | (F.col("_at") == F.col("_first")))
     first = first.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id"))).filter(F.col("_rank") <= per_lang)
     ids = ids.filter(share * F.col("_all") < 2 * max_docs + 100).orderBy("_at", "doc_id").limit(max_docs)
-    ids = ids.select("doc_id", "lang").unionAll(first.select("doc_id", "lang"))
+    ids = ids.select("doc_id", "lang").unionAll(first.select("doc_id", "lang")).distinct()
     # at most max_docs short rows, and per_lang of each language
-    sample = d.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text")
+    sample = d.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

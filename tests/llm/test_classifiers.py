@@ -228,3 +228,11 @@ def test_viterbi_of_many_languages():
     scores = np.full((3, 300), -20.0, np.float32)
     scores[:, 250] = 0
     assert language.viterbi(scores, np.zeros(3, np.int64), 6.0).tolist() == [250] * 3
+
+
+def test_rows_of_one_doc_id_teach_their_own_language(documents):
+    rows = [(i // 2, ["ab cd ef", "uvw xyz"][i % 2], ["aa", "bb"][i % 2]) for i in range(40)]
+    a, b = (language.train(documents(rows, n)) for n in (1, 5))
+    assert a.langs == ["aa", "bb"] and np.array_equal(a.logp, b.logp)
+    got = language.languages(documents([(1, "cd ab"), (2, "xyz")]), a).collect()
+    assert {g.doc_id: g.lang_pred for g in got} == {1: "aa", 2: "bb"}
