@@ -95,14 +95,15 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_words: int = 20000, max_hits: int = 8_000_000,
-    least_docs: int = 3, least_z: float = 4.0, sentence_z: float = 5.5, support_z: float = 2.0, steps: int = 150, l2: float = 3e-3,
+    least_docs: int = 3, least_z: float = 4.0, sentence_z: float = 5.5, support_z: float = 2.0, lift: float = 4.0, steps: int = 150, l2: float = 3e-3,
 ) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, outside fold ``held_out``.
 
     A sign gets a weight if it is in ``least_docs`` documents of the sample and its share
     among toxic ones exceeds that among others by ``least_z`` standard errors (of equal shares).
     A sign of two toxic documents may still stand out in them: ``support_z`` errors are
-    enough if its share of their sentences exceeds that of others by ``sentence_z`` errors.
+    enough if its share of their sentences exceeds that of others by ``sentence_z`` errors
+    and is at least ``lift`` times as large.
     ``l2`` is the weights' penalty beside the likelihood of the whole sample.
     """
     sample = materialize(labelled_sample(docs, labels, label, folds, held_out, per_class), "toxic-sample")
@@ -155,7 +156,8 @@ def train(
     by_docs = errors(F.col("n"), F.col("toxic"), whole.n, n_toxic)
     by_sentences = errors(F.col("sentences"), F.col("toxic_sentences"), whole.sentences, whole.toxic_sentences)
     often = (F.col("n") >= least_docs) & (by_docs > least_z)
-    stands_out = often | ((F.col("toxic") >= 2) & (by_docs > support_z) & (by_sentences > sentence_z))
+    rates = F.col("toxic_sentences") / whole.toxic_sentences, (F.col("sentences") - F.col("toxic_sentences")) / (whole.sentences - whole.toxic_sentences)
+    stands_out = often | ((F.col("toxic") >= 2) & (by_docs > support_z) & (by_sentences > sentence_z) & (rates[0] >= lift * rates[1]))
     # of the sample's signs only those that are found in several toxic documents of at most per_class
     found = counts.filter(F.col("sign").isNotNull() & stands_out).select("sign").toArrow()
     word = np.sort(found["sign"].to_numpy().view(np.uint64))
