@@ -44,7 +44,7 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.array_max(scores)["s"]
 
 
-def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = 4 << 20, bytes_a_task: int = 32 << 20, most_tasks: int = 50_000) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = 4 << 20, bytes_a_task: int = 16 << 20, most_tasks: int = 50_000) -> DataFrame:
     """``docs`` with shard, bucket and slot (gapless from 0 in each shard).
 
     ``bucket_bytes`` bounds the mean bucket, which is what one task holds at once, up to
