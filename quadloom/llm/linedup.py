@@ -1,22 +1,25 @@
 """Line deduplication by pairwise alignment.
 
-1. A line's key is a hash of its trimmed bytes.  The shortest runs of lines with
-   ``min_words`` words, from each line on and up to each line, are keyed too.  Each
-   run names the earliest document that holds it (a pre-aggregated minimum: a run
-   that a third of all documents share costs one row a task), and a document's
-   partners are the earlier documents that its runs name.  Every line of a common
-   block is in a run inside the block, and the run's earliest holder has it whole,
-   so each block of any earlier document is found; a frequent run leads to one
-   partner, not to all of its holders: pairs never outnumber runs, two a line,
-   without a cap.  A short line links within its runs only, never alone.
-2. Each pair is aligned by patience diff: lines that occur once in both, in their
+1. A line's key is a hash of its trimmed bytes.  A line is rare if 2 to ``rare``
+   documents have it: it links each of these with every earlier one.  Such pairs
+   have all common blocks with a rare line in them, however short the line.
+2. Blocks of frequent lines only are found by runs: the shortest runs of frequent
+   lines with ``min_words`` words, from each line on and up to each line, are keyed,
+   and each run names the earliest document that holds it (a pre-aggregated minimum:
+   a run that a third of all documents share costs one row a task).  Every line of
+   such a block is in a run inside the block, and the run's earliest holder has it
+   whole.  So no block of any earlier document is lost, and no frequent line or run
+   lists its holders: pairs never outnumber ``rare`` a line and two runs a line.
+3. Each pair is aligned by patience diff: lines that occur once in both, in their
    longest increasing order, are anchors; between anchors the same again; equal
    lines next to the ends of a gap are matched.
-3. Runs of matched lines that follow each other in both documents are common
+4. Runs of matched lines that follow each other in both documents are common
    blocks; those of ``min_words`` words or more go from the later document.  Blocks
    that the diff cannot match, as they stand twice or in another order, go too:
    the earlier document's runs of ``min_words`` words are looked up one by one.
 
+So a line goes exactly if it is in a run of lines with ``min_words`` words or more
+that some earlier document has too.
 The earlier document of a pair is the one with the smaller doc_id.
 
 Defined cases: null texts stay null; lines without a word are never compared and
@@ -80,10 +83,42 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, text_hash long, keys binary, words binary")
 
 
-def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def line_postings(lines: DataFrame) -> DataFrame:
+    """(key, doc_id, text_hash) for the distinct lines of each document."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.frombuffer(k.as_buffer(), np.int64)) for k in batch.column("keys")]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc_id").take(at), batch.column("text_hash").take(at)], ["key", "doc_id", "text_hash"])
+
+    return lines.mapInArrow(scan, "key long, doc_id long, text_hash long")
+
+
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """(key, doc_id, text_hash, n) of the lines that n > 1 documents have."""
+    p = line_postings(lines)
+    count = p.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # read back, so that the join shuffles both sides and can split a hot line
+    count = materialize(count, "line-counts").hint("merge")
+    return materialize(p.join(count, "key"), "shared-lines")
+
+
+def rare_pairs(shared: DataFrame, rare: int) -> DataFrame:
+    """doc_id, text_hash, a_id, a_hash: the pairs of documents with a line that no more than ``rare`` have."""
+    holder = F.struct("doc_id", "text_hash")
+    # at most ``rare`` in a list
+    lists = shared.filter(F.col("n") <= rare).groupBy("key").agg(F.collect_list(holder).alias("all"))
+    pairs = lists.select(F.explode("all").alias("later"), "all").select("later", F.explode("all").alias("earlier"))
+    pairs = pairs.filter("earlier.doc_id < later.doc_id")
+    return pairs.select("later.doc_id", "later.text_hash", F.col("earlier.doc_id").alias("a_id"), F.col("earlier.text_hash").alias("a_hash"))
+
+
+def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: int, usable: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Key and row of the shortest runs of ``min_words`` words or more from each line on and up to each line.
 
-    Row r has the lines from ``edge[r]`` to ``edge[r + 1]``.
+    Row r has the lines from ``edge[r]`` to ``edge[r + 1]``; runs with a line that is not ``usable`` are left out.
     """
     n = len(keys)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
@@ -93,6 +128,10 @@ def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: i
     start = np.searchsorted(total, total[1:] - least, "right") - 1
     on, up = np.flatnonzero(stop <= edge[row + 1]), np.flatnonzero(start >= edge[row])
     starts, stops, row = np.concatenate([on, start[up]]), np.concatenate([stop[on], up + 1]), np.concatenate([row[on], row[up]])
+    if usable is not None:
+        barred = np.concatenate([[0], np.cumsum(~usable)])
+        whole = np.flatnonzero(barred[stops] == barred[starts])
+        starts, stops, row = starts[whole], stops[whole], row[whole]
     powers, inverse = B.powers(n + 1)
     rolling = np.zeros(n + 1, B.U64)
     np.cumsum(B.mix64(keys) * powers[:n], out=rolling[1:])
@@ -104,18 +143,20 @@ def run_keys(keys: np.ndarray, words: np.ndarray, edge: np.ndarray, min_words: i
     return found[new], row[new]
 
 
-def postings(lines: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, text_hash) for the distinct shortest runs of ``min_words`` words or more."""
+def run_postings(lines: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, text_hash) for the distinct shortest runs of ``min_words`` words or more; ``frequent``: keys of the lines they may have."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, words = batch.column("keys").to_pylist(), batch.column("words").to_pylist()
-            edge = np.concatenate([[0], np.cumsum([len(k) // 8 for k in keys], dtype=np.int64)])
+            raw, words, usable = (batch.column(c).to_pylist() for c in ("keys", "words", "frequent"))
+            edge = np.concatenate([[0], np.cumsum([len(k) // 8 for k in raw], dtype=np.int64)])
             lo = 0
-            while lo < len(keys):
+            while lo < len(raw):
                 # rows of a bounded number of lines; a longer document is a part of its own
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + LINES, "right")) - 1)
-                found, row = run_keys(np.frombuffer(b"".join(keys[lo:hi]), B.U64), np.frombuffer(b"".join(words[lo:hi]), "<i4"), edge[lo : hi + 1] - edge[lo], min_words)
+                keys = np.frombuffer(b"".join(raw[lo:hi]), B.U64)
+                ok = [np.isin(np.frombuffer(k, np.int64), np.array(f, np.int64)) for k, f in zip(raw[lo:hi], usable[lo:hi], strict=True)]
+                found, row = run_keys(keys, np.frombuffer(b"".join(words[lo:hi]), "<i4"), edge[lo : hi + 1] - edge[lo], min_words, np.concatenate(ok))
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("doc_id").take(at), batch.column("text_hash").take(at)], ["key", "doc_id", "text_hash"])
                 lo = hi
@@ -123,6 +164,18 @@ def postings(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.mapInArrow(scan, "key long, doc_id long, text_hash long")
 
 
+def run_pairs(lines: DataFrame, shared: DataFrame, rare: int, min_words: int) -> DataFrame:
+    """doc_id, text_hash, a_id, a_hash: each document with the earliest holders of its runs of frequent lines."""
+    # no more keys than the document has lines
+    frequent = shared.filter(F.col("n") > rare).groupBy("doc_id", "text_hash").agg(F.collect_list("key").alias("frequent"))
+    p = run_postings(lines.join(frequent, ["doc_id", "text_hash"]), min_words)
+    holders = p.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("_last"))
+    holders = holders.filter("first.doc_id < _last").select("key", F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"))
+    # read back, so that the join shuffles both sides and can split a hot run
+    holders = materialize(holders, "holders").hint("merge")
+    return p.join(holders, "key").filter("a_id < doc_id").select("doc_id", "text_hash", "a_id", "a_hash")
+
+
 def _rising(values: list[int]) -> list[int]:
     """Positions of a longest increasing subsequence of distinct values."""
     tops: list[int] = []
@@ -217,16 +270,14 @@ def common_lines(a: list, b: list, words: list[int], min_words: int) -> list[int
     return sorted(out)
 
 
-def overlaps(lines: DataFrame, min_words: int) -> DataFrame:
+def overlaps(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
     """doc_id, text_hash and ``hits``: for each partner the positions of lines to remove (4 bytes each)."""
-    p = postings(lines.filter("doc_id is not null"), min_words)
-    holders = p.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("_last"))
-    holders = holders.filter("first.doc_id < _last").select("key", F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"))
-    # read back, so that the join shuffles both sides and can split a hot run
-    holders = materialize(holders, "holders").hint("merge")
-    pairs = p.join(holders, "key").filter("a_id < doc_id").select("doc_id", "text_hash", "a_id", "a_hash").distinct()
+    known = lines.filter("doc_id is not null")
+    shared = shared_lines(known)
+    pairs = rare_pairs(shared, rare).unionAll(run_pairs(known, shared, rare, min_words)).distinct()
+    pairs = materialize(pairs, "pairs").join(lines, ["doc_id", "text_hash"])
     earlier = lines.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("keys").alias("a_keys"))
-    pairs = pairs.join(lines, ["doc_id", "text_hash"]).join(earlier, ["a_id", "a_hash"])
+    pairs = pairs.join(earlier, ["a_id", "a_hash"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,21 +291,26 @@ def overlaps(lines: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(hits, pa.binary())], ["doc_id", "text_hash", "hits"])
 
     found = pairs.select("doc_id", "text_hash", "a_keys", "keys", "words").mapInArrow(scan, "doc_id long, text_hash long, hits binary")
-    # a document has no more than two partners a line
+    # a document has no more than ``rare`` partners and two runs a line
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list("hits").alias("hits"))
 
 
-def drop_common_blocks(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """``docs`` without the lines that repeat blocks of earlier documents, plus n_lines, removed_lines, removed_words."""
+def drop_common_blocks(docs: DataFrame, min_words: int = 25, rare: int = 8) -> DataFrame:
+    """``docs`` without the lines that repeat blocks of earlier documents, plus n_lines, removed_lines, removed_words.
+
+    ``rare`` says which of two exact ways finds a block; the result is the same for any.
+    """
+    if min_words < 1 or rare < 1:
+        raise ValueError("min_words and rare are 1 or more")
     docs = carry(docs, ("doc_id", "text"), (*ADDED, "_hash", "_hit_id", "_hit_hash", "_hits"))
     d = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     lines = materialize(line_table(d), "lines").dropDuplicates(["doc_id", "text_hash"])
     lines = materialize(lines, "documents-lines")
-    hits = materialize(overlaps(lines, min_words), "overlaps")
+    hits = materialize(overlaps(lines, min_words, rare), "overlaps")
     names, at = docs.columns, docs.columns.index("text")
     hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("hits").alias("_hits"))
-    # the texts are shuffled by their documents at every size; the side with the hits is the hash table
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(hits.hint("shuffle_hash"), (F.col("doc_id") == F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
+    # the texts are shuffled by their documents at every size, and sorted, so that memory can spill
+    joined = docs.withColumn("_hash", F.xxhash64("text")).join(hits.hint("merge"), (F.col("doc_id") == F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
     joined = joined.drop("_hit_id", "_hit_hash", "_hash")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ADDED]])
 
