@@ -5,24 +5,28 @@ has ``REGISTERS`` registers; each keeps, of the smallest hash in its part of the
 hash space, the count of leading zeros (6 bits) and the next 10 bits.  Four
 registers make a band of 64 bits.
 
-1. One scan makes sketches; equal sets (count and 128-bit sum) become one class.
+1. One scan makes sketches; equal sets (count and 128-bit sum) become one class,
+   which has a number of its own and is the node of all that follows.
 2. Texts that share a band are candidates.  A band's texts are not paired with
    each other: each text is compared with the band's hub, by the collision-corrected
    estimate, and its best estimate is verified on full sets.
 3. Where a band still holds texts of several components, the pairs across them
-   are estimated too, in blocks of bounded size and only between sets whose
-   sizes allow the threshold.  A text with such an estimate is then compared, on
-   full sets, with all texts of the other component, again in blocks.  So no
-   link between components is lost to step 2, whatever the size of a band.
+   are estimated too, in blocks and only between sets whose sizes allow the
+   threshold.  A text with such an estimate is verified with its best partner in
+   the other component and, if that fails, compared on full sets with all texts
+   of that component, again in blocks.  So no link between components is lost to
+   step 2, whatever the size of a band.
 4. Verified links give connected components.
 
 With 32 bands a pair at the threshold shares none with probability below 1e-5.
 
 Defined cases: null or blank texts have empty sets and link with nothing, also
 not with each other; with fewer words than a shingle the whole sequence is the
-one shingle; repeated rows share one component, the smallest id; a doc_id with
-several texts is one node, whose links are found by one of them; rows with a null
-doc_id are never linked and have component_id null; other columns are ignored.
+one shingle; repeated rows share one component, the smallest id; rows of one
+doc_id with different texts are linked by their texts only, each for itself;
+rows with a null doc_id are never linked and have component_id null; other
+columns are ignored.  ``keep_one`` keeps one row of each component, and all rows
+with a null doc_id.
 """
 
 from __future__ import annotations
@@ -49,6 +53,10 @@ U64 = np.uint64
 SLACK = 4.5
 #: Rows of one block in step 3: of a band's sketches, and of full sets on either side.
 BLOCK, SETS = 1024, 512
+#: A band of more parts than this has larger blocks too: both grow with the square root, so that fewer rows move.
+PARTS = 16
+#: Sets of so many shingles or fewer have each register as a band.
+FEW = 4
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +119,7 @@ def _binary(values: list[bytes]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, sig_a, sig_b, regs for each row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, sig_a, sig_b, regs for each row of ``docs`` (doc_id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,24 +130,29 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
                 a, b = sums(key, owner, rows)
                 regs = [r.tobytes() for r in registers(key, owner, rows)]
                 n = np.bincount(owner, minlength=rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, rows), pa.array(n), pa.array(a), pa.array(b), _binary(regs)], ["doc_id", "n_shingles", "sig_a", "sig_b", "regs"])
+                columns = [ids.slice(lo, rows), batch.column("text_hash").slice(lo, rows), pa.array(n), pa.array(a), pa.array(b), _binary(regs)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "sig_a", "sig_b", "regs"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, sig_a long, sig_b long, regs binary")
+    d = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    return d.mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, sig_a long, sig_b long, regs binary")
 
 
-def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id and its sorted shingle hashes, 8 bytes each."""
+def shingle_sets(wanted: DataFrame, k: int = 5) -> DataFrame:
+    """rep and its sorted shingle hashes, 8 bytes each; ``wanted``: rep, text, and the signature that the text must have."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            reps = batch.column("rep")
+            sig_a, sig_b = (batch.column(c).to_numpy() for c in ("sig_a", "sig_b"))
             for lo, hi, buf, offs in B.chunks(batch.column("text")):
                 key, owner = shingles(buf, offs, k)
+                a, b = sums(key, owner, hi - lo)
+                mine = np.flatnonzero((a == sig_a[lo:hi]) & (b == sig_b[lo:hi]))
                 edge = np.searchsorted(owner, np.arange(hi - lo + 1))
-                sets = [np.sort(key[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), _binary(sets)], ["doc_id", "shingles"])
+                sets = [np.sort(key[edge[i] : edge[i + 1]]).tobytes() for i in mine]
+                yield pa.RecordBatch.from_arrays([reps.slice(lo, hi - lo).take(pa.array(mine)), _binary(sets)], ["rep", "shingles"])
 
-    return docs.mapInArrow(scan, "doc_id long, shingles binary")
+    return wanted.select("rep", "sig_a", "sig_b", "text").mapInArrow(scan, "rep long, shingles binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -147,21 +160,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(band, at, rep) for each band with a filled register; ``at`` is its place in the sketch."""
+    """(band, at, rep) for each band with a filled register; ``at`` is its place in the sketch.
+
+    Of sets with few shingles, all of which may lie in one band, each filled register
+    is a band too, at the place after the last.
+    """
     n = REGISTERS // ROWS_PER_BAND
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = _matrix(batch.column("regs")).view(U64).reshape(-1, n)
+            regs = _matrix(batch.column("regs"))
+            keys = regs.view(U64).reshape(-1, n)
             full = keys != U64(0xFFFFFFFFFFFFFFFF)
             mixed = B.mix64(B.mix64(keys) + np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-            ids = np.repeat(batch.column("rep").to_numpy(), n).reshape(-1, n)
+            reps = batch.column("rep").to_numpy()
+            ids = np.repeat(reps, n).reshape(-1, n)
             at = np.broadcast_to(np.arange(n, dtype=np.int8), full.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed[full].view(np.int64)), pa.array(at[full]), pa.array(ids[full])], ["band", "at", "rep"])
+            few, place = np.nonzero((regs != EMPTY) & (batch.column("n_shingles").to_numpy() <= FEW)[:, None])
+            single = B.mix64(B.mix64(regs[few, place].astype(U64) + U64(1)) + (place + n + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+            columns = [np.r_[mixed[full], single].view(np.int64), np.r_[at[full], np.full(len(few), n, np.int8)], np.r_[ids[full], reps[few]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "at", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(scan, "band long, at byte, rep long")
+    return reps.select("rep", "n_shingles", "regs").mapInArrow(scan, "band long, at byte, rep long")
 
 
 def shared_bands(band: DataFrame) -> DataFrame:
@@ -230,7 +252,7 @@ def star_candidates(members: DataFrame, reps: DataFrame, threshold: float) -> Da
     return found.groupBy("rep").agg(best.alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], work, names: list[str]) -> Iterator[pa.RecordBatch]:
     """``work`` on the rows of each ``key`` of a partition that is sorted by it; holds one key's rows at a time."""
     held: list[pa.RecordBatch] = []  # rows of the key that the last batch left open
 
@@ -240,7 +262,7 @@ def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
         edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         found = [work(t.slice(i, j - i)) for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -256,7 +278,7 @@ def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
 
 
 def cross_candidates(members: DataFrame, reps: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
-    """(rep, component): a text and another component that may have a text near it.
+    """(rep, component, partner): a text, another component that may have a text near it, and the nearest one by estimate.
 
     Estimates every pair of texts that share a band but no component, once: in
     the first band they share.  Of the two components the text of the smaller one
@@ -272,7 +294,9 @@ def cross_candidates(members: DataFrame, reps: DataFrame, component: DataFrame,
     rows = rows.withColumn("own_class", F.floor(F.log("n_shingles") / math.log(1 / threshold) + 1e-9).cast("int"))
     rows = rows.withColumn("size_class", F.explode(F.array("own_class", F.col("own_class") + 1)))
     group = rows.groupBy("band", "size_class").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    rows = rows.join(group.select("band", "size_class", F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts")), ["band", "size_class"])
+    blocks = F.col("_n") / BLOCK
+    parts = F.ceil(F.when(blocks <= PARTS, blocks).otherwise(F.sqrt(blocks * PARTS)))
+    rows = rows.join(group.select("band", "size_class", parts.cast("int").alias("parts")), ["band", "size_class"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("left_part", F.least("part", "_other")).withColumn("right_part", F.greatest("part", "_other"))
@@ -282,34 +306,44 @@ def cross_candidates(members: DataFrame, reps: DataFrame, component: DataFrame,
     rows = rows.select(key.alias("key"), "at", "size_class", "own_class", "rep", "component", "nodes", F.col("n_shingles").alias("n"), *sides, "regs")
     rows = rows.repartition("key").sortWithinPartitions("key")
 
-    def near(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def near(t: pa.Table) -> tuple[np.ndarray, ...]:
         rep, comp, nodes, n, own = (t.column(c).to_numpy() for c in ("rep", "component", "nodes", "n", "own_class"))
-        if comp.min() == comp.max():
-            return rep[:0], rep[:0]
-        regs = _matrix(t.column("regs"))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+
+        def note(text: int, other: int, est: float, partner: int) -> None:
+            best[text, other] = max(best.get((text, other), (-1.0, 0)), (est, -partner))
+
+        regs = _matrix(t.column("regs")) if comp.min() != comp.max() else np.zeros((0, REGISTERS), np.uint16)
         keys = regs.view(U64)
         band, size_class = t.column("at")[0].as_py(), t.column("size_class")[0].as_py()
         in_left, in_right = t.column("in_left").to_numpy(), t.column("in_right").to_numpy()
         both = in_left & in_right
-        found = set()
-        for i in np.flatnonzero(in_left):
+        for i in np.flatnonzero(in_left) if len(regs) else ():
             # each pair once: in the larger of its classes, and in the first band that both share
             at = in_right & (comp != comp[i]) & (np.maximum(own, own[i]) == size_class)
             if both[i]:
                 at[: i + 1] &= ~both[: i + 1]
             at = np.flatnonzero(at)
-            if not len(at):
-                continue
-            if band:
+            if band and len(at):
                 early = keys[i, :band]
                 at = at[~((keys[at, :band] == early) & (early != U64(0xFFFFFFFFFFFFFFFF))).any(1)]
-            at = at[_compare(regs[i], regs[at], n[i], n[at], threshold)[1]]
+            if not len(at):
+                continue
+            est, ok = _compare(regs[i], regs[at], n[i], n[at], threshold)
+            at, est = at[ok], est[ok]
             mine = (nodes[i] < nodes[at]) | ((nodes[i] == nodes[at]) & (comp[i] > comp[at]))
-            found.update((rep[i], c) for c in set(comp[at[mine]].tolist()))
-            found.update((r, comp[i]) for r in rep[at[~mine]].tolist())
-        return np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
+            for j, e, m in zip(at.tolist(), est.tolist(), mine.tolist(), strict=True):
+                if m:
+                    note(int(rep[i]), int(comp[j]), e, int(rep[j]))
+                else:
+                    note(int(rep[j]), int(comp[i]), e, int(rep[i]))
+        found = [(x, c, -p, e) for (x, c), (e, p) in best.items()]
+        columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
+        return tuple(np.array(v, kind) for v, kind in zip(columns, (np.int64, np.int64, np.int64, np.float64), strict=True))
 
-    return rows.mapInArrow(lambda batches: _runs(batches, near), "a long, b long").distinct().toDF("rep", "component")
+    names = ["rep", "component", "partner", "est"]
+    found = rows.mapInArrow(lambda batches: _runs(batches, near, names), "rep long, component long, partner long, est double")
+    return found.groupBy("rep", "component").agg(F.max_by("partner", F.struct("est", -F.col("partner"))).alias("partner"))
 
 
 def cross_links(candidates: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +353,7 @@ def cross_links(candidates: DataFrame, component: DataFrame, sets: DataFrame, pe
     bounded size; one pass over a block counts a text's common shingles with all
     of the block's texts.
     """
-    c = materialize(candidates.toDF("x", "c"), "across")
+    c = candidates.toDF("x", "c")
     nodes = component.select(F.col("node").alias("y"), F.col("component").alias("c"))
     # a text without a link is its own component
     alone = c.select("c").distinct().join(nodes.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("y"), "c")
@@ -357,7 +391,7 @@ def cross_links(candidates: DataFrame, component: DataFrame, sets: DataFrame, pe
                 b.append(max(ids[k], ids[of[best]]))
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    return rows.mapInArrow(lambda batches: _runs(batches, links), "a long, b long")
+    return rows.mapInArrow(lambda batches: _runs(batches, links, ["a", "b"]), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -383,32 +417,53 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.select("a", "b", "set_a", "set_b").mapInArrow(scan, "a long, b long, jaccard double")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
     threshold = percent / 100
     d = pick(docs, "doc_id", "text")
     rows = materialize(sketches(d, k), "sketches")
     filled = rows.filter("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"))
-    reps = materialize(reps, "classes")
+    reps = filled.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("regs").alias("regs"))
+    # the numbers stay what they are once they are written
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     members = shared_bands(bands(reps))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(d.join(wanted, "doc_id", "left_semi"), k), "sets").dropDuplicates(["doc_id"])
-    links = materialize(verified(star_candidates(members, reps, threshold), sets, percent), "links")
+    wanted = members.select("rep").distinct().join(reps.select("rep", F.col("low").alias("doc_id"), "sig_a", "sig_b"), "rep")
+    sets = materialize(shingle_sets(d.join(wanted, "doc_id"), k), "sets").dropDuplicates(["rep"])
+    links = materialize(verified(star_candidates(members, reps, threshold), sets, percent).select("a", "b"), "links")
     first = materialize(connected_components(links), "components")
-    more = cross_links(cross_candidates(members, reps, first, threshold), first, sets, percent)
-    links = links.select("a", "b").unionAll(materialize(more, "links"))
-    component = connected_components(links)
-    classes = reps.drop("regs").join(component, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("_component"))
-    linked = filled.drop("regs").join(classes, ["sig_a", "sig_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
-    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.unionAll(alone)
+    across = materialize(cross_candidates(members, reps, first, threshold), "across")
+    likely = across.select(F.col("rep").alias("a"), F.col("partner").alias("b"))
+    near = materialize(verified(likely, sets, percent).select("a", "b"), "links")
+    rest = across.join(near.toDF("rep", "partner"), ["rep", "partner"], "left_anti").select("rep", "component")
+    more = materialize(cross_links(materialize(rest, "unlinked"), first, sets, percent), "links")
+    component = connected_components(links.unionAll(near).unionAll(more))
+    classes = reps.drop("regs").join(component, F.col("rep") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "rep"))
+    classes = materialize(classes.select("sig_a", "sig_b", "n_shingles", "low", "_part"), "parts")
+    lowest = classes.groupBy("_part").agg(F.min("low").alias("component_id"))
+    classes = classes.drop("low").join(lowest, "_part").drop("_part")
+    linked = filled.drop("regs").join(classes, ["sig_a", "sig_b", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionAll(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    out = _components(docs, k, percent).drop("text_hash")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its component, with all their columns."""
-    docs = carry(docs, ("doc_id", "text"), ("_id",))
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one of each, with all their columns; none for empty texts but one of each doc_id and text."""
+    docs = carry(docs, ("doc_id", "text"), ("_id", "_hash", "_own"))
+    mine = _components(docs, k, percent).filter("doc_id = component_id")
+    # a component that has several texts of its smallest doc_id keeps one of them
+    linked = mine.filter("n_shingles > 0").groupBy(F.col("component_id").alias("_id")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_rows"))
+    empty = mine.filter("n_shingles = 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"))
+    kept = materialize(linked.unionAll(empty.select("_id", "_hash", "_rows")), "kept")
+    docs = docs.withColumn("_own", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    out = docs.join(kept.filter("_rows = 1"), same, "left_semi").unionAll(docs.filter("doc_id is null"))
+    if not kept.filter("_rows > 1").isEmpty():
+        again = docs.join(kept.filter("_rows > 1"), same, "left_semi")
+        out = out.unionAll(again.dropDuplicates(["doc_id", "_own"]).select(out.columns))
+    return out.drop("_own")

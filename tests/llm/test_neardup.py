@@ -82,6 +82,34 @@ def test_hub_far_from_some_of_its_group(documents, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 1
 
 
+def test_rows_of_one_doc_id_are_linked_each_by_its_text(documents):
+    r = random.Random(2)
+    x, y, z = ([f"{c}{i}" for i in range(90)] for c in "xyz")
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (3, edited(r, x, 1)), (9, edited(r, y, 1)), (7, edited(r, z, 1)), (7, " ".join(z)), (7, " ".join(z)), (8, "lone words here")]
+    got = sorted((g.doc_id, g.component_id, g.kept) for g in neardup.near_duplicates(documents(rows)).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, True), (7, 7, True), (8, 8, True), (9, 5, False)]
+    kept = sorted((g.doc_id, g.text) for g in neardup.keep_one(documents(rows)).collect())
+    assert [i for i, _ in kept] == [3, 5, 7, 8] and kept[1][1] == rows[1][1]
+
+
+def test_tiny_sets(documents):
+    """Three of four shingles shared: all pairs are found, wherever their hashes lie."""
+    rows = []
+    for i in range(400):
+        w = [f"t{i}x{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:7]))]
+    got = {g.doc_id: g.component_id for g in neardup.near_duplicates(documents(rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in got}
+
+
+def test_larger_bands_in_larger_blocks(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "PARTS", 3)
+    rows = corpus(5)
+    got = {g.doc_id: (g.n_shingles, g.component_id) for g in neardup.near_duplicates(documents(rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_registers_keep_the_smallest_hash():
     r = np.random.default_rng(1)
     key = r.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,4 +158,4 @@ def test_odd_rows(odd, clashing, empty):
         assert by[4] == [(1, 4, True)] and by[7] == [(1, 4, False)] and by[6] == [(1, 6, True)] * 2 and by[1] == [(0, 1, True)]
         assert [c for _, c, _ in by[None]] == [None, None]
     assert neardup.near_duplicates(empty).count() == 0
-    assert sorted(x.doc_id or 0 for x in neardup.keep_one(odd).collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 6, 8]
+    assert sorted(x.doc_id or 0 for x in neardup.keep_one(odd).collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8]
