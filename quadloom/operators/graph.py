@@ -23,6 +23,9 @@ from quadloom.plans.scratch import materialize
 
 #: Up to so many properties become constants of the plan, so that a filter on one predicate prunes the rest.
 INLINE = 1000
+#: Role and tid as one number: role * SPAN + tid, for tids (twice the place in the order) below half of it.
+SPAN_BITS = 60
+SPAN = 1 << SPAN_BITS
 
 
 def canonicalize(df: DataFrame, canon: DataFrame | None, **columns: str) -> DataFrame:
@@ -121,14 +124,15 @@ class Graph:
         if self.narrow is None:
             return self.adj.filter(F.col("p") == predicate)
         none = F.lit(None).cast("string")
-        e = self.narrow.edges(predicate).select(F.col("s_c").alias("s"), F.col("p_c").alias("p"), F.col("o_c").alias("dst"), none.alias("value"), none.alias("lang"), "tid")
+        e = self.narrow.links(predicate).select("s", F.lit(predicate).alias("p"), "dst", none.alias("value"), none.alias("lang"), "tid")
         d = self.narrow.data(predicate).select(F.col("s_c").alias("s"), F.col("p_c").alias("p"), F.concat(F.lit(DATUM_PREFIX), F.col("node").cast("string")).alias("dst"), "value", "lang", "tid")
         return e.unionAll(d)
 
     def having(self, predicate: str, obj: str) -> DataFrame:
         """(s, tid) of the edges with one canonical predicate and object; no literal is meant."""
-        edges = self.edges.filter(F.col("p_c") == predicate) if self.narrow is None else self.narrow.edges(predicate, obj)
-        return edges.filter(F.col("o_c") == obj).select(F.col("s_c").alias("s"), "tid")
+        if self.narrow is None:
+            return self.edges.filter((F.col("p_c") == predicate) & (F.col("o_c") == obj)).select(F.col("s_c").alias("s"), "tid")
+        return self.narrow.links(predicate, obj).filter(F.col("dst") == obj).select("s", "tid")
 
     @functools.cached_property
     def triples(self) -> DataFrame:
@@ -169,7 +173,8 @@ class Graph:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         for name in ("edges", "data"):
             t = getattr(self, name)
-            t.repartition("p_c").sortWithinPartitions("p_c", "s_c").write.mode("overwrite").parquet(f"{path}/{name}")
+            # by ranges of both, so that a predicate with many statements takes many tasks
+            t.repartitionByRange("p_c", "s_c").sortWithinPartitions("p_c", "s_c").write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, type_predicate: str = RDF_TYPE) -> Graph:
@@ -183,14 +188,16 @@ def _regular(kept: DataFrame, canon: DataFrame | None) -> DataFrame:
 
 
 def _inferred(regular: DataFrame, inverse: DataFrame, few: dict[str, str] | None) -> DataFrame:
-    """The inverse triples of ``regular``: canonical ends swapped, written labels kept."""
-    if few is not None:
-        named = F.lit(None).cast("string")
-        for p, inv in few.items():
-            named = F.when(F.col("p_c") == p, F.lit(inv)).otherwise(named)
-        i = regular.filter(_in("p_c", few)).withColumn("inv", named)
+    """The inverse triples of ``regular``: canonical ends swapped, written labels kept.
+
+    The properties of ``few`` filter, so that scans are pruned; what each is inverse to
+    comes from a join with the table of pairs.
+    """
+    i = regular if few is None else regular.filter(_in("p_c", few))
+    if few is not None and len(set(few.values())) == 1:
+        i = i.withColumn("inv", F.lit(next(iter(few.values()))))
     else:
-        i = regular.join(inverse.select(F.col("p").alias("_p"), "inv"), F.col("p_c") == F.col("_p"))
+        i = i.join(inverse.select(F.col("p").alias("_p"), "inv"), F.col("p_c") == F.col("_p"))
     return i.select(F.col("o_c").alias("s_c"), F.col("inv").alias("p_c"), F.col("s_c").alias("o_c"), "s_l", "p_l", "o_l", F.lit(INVERSE).cast("tinyint").alias("role"), "graph", (F.col("tid") + 1).alias("tid"))
 
 
@@ -216,8 +223,7 @@ class Narrow:
     objects: set[str] | None = None
     literals: set[str] | None = None
 
-    def _rows(self, kept: DataFrame, accepted: set[str] | None, test: str, predicate: str) -> DataFrame:
-        names = self.written(predicate)
+    def _rows(self, kept: DataFrame, accepted: set[str] | None, test: str, names: set[str]) -> DataFrame:
         if self.parts is None:
             return kept.filter(_in("p", names))
         mine = [self.parts[n] for n in sorted(names) if n in self.parts and (accepted is None or n in accepted)]
@@ -225,25 +231,41 @@ class Narrow:
             return kept.filter(F.lit(False))
         return functools.reduce(DataFrame.unionAll, mine).filter(test)
 
-    def written(self, label: str) -> set[str]:
-        """All labels with the canonical label ``label``."""
-        return {label, *(a for a, c in self.known.items() if c == label)}
+    @functools.cached_property
+    def _aliases(self) -> dict[str, set[str]]:
+        out: dict[str, set[str]] = {}
+        for alias, canonical in self.known.items():
+            out.setdefault(canonical, {canonical}).add(alias)
+        return out
+
+    def written(self, *labels: str) -> set[str]:
+        """All labels whose canonical label is one of ``labels``."""
+        return set().union(*[self._aliases.get(x, {x}) for x in labels])
+
+    def links(self, predicate: str, obj: str | None = None) -> DataFrame:
+        """s, dst, tid of the predicate's edges, without written labels: a path needs no more of a statement.
 
-    def edges(self, predicate: str, obj: str | None = None) -> DataFrame:
+        Of equal edges the smallest role, then the smallest tid counts; both are one number here.
+        """
         of = functools.partial(self._rows, self.kept_objects, self.objects, "o is not null")
-        rows = of(predicate)
-        if obj is not None:
-            rows = rows.filter(_in("o", self.written(obj)))
-        out = _regular(rows, self.canon)
-        for partner in sorted(p for p, inv in self.inverse.items() if inv == predicate):
-            rows = of(partner)
-            if obj is not None:
-                rows = rows.filter(_in("s", self.written(obj)))
-            out = out.unionAll(_inferred(_regular(rows, self.canon), None, {partner: predicate}))
-        return resolve_conflicts(out)
+
+        def ends(rows: DataFrame, role: int) -> DataFrame:
+            rows = canonicalize(rows.select("ord", "s", "o"), self.canon, s_c="s", o_c="o")
+            rank = F.lit(role * SPAN).cast("long") + F.col("ord") * 2 + role
+            return rows.select("s_c", "o_c", rank.alias("rank")) if role == REGULAR else rows.select(F.col("o_c").alias("s_c"), F.col("s_c").alias("o_c"), rank.alias("rank"))
+
+        rows = of(self.written(predicate))
+        out = ends(rows if obj is None else rows.filter(_in("o", self.written(obj))), REGULAR)
+        partners = [p for p, inv in self.inverse.items() if inv == predicate]
+        if partners:
+            rows = of(self.written(*partners))
+            out = out.unionAll(ends(rows if obj is None else rows.filter(_in("s", self.written(obj))), INVERSE))
+        best = out.groupBy("s_c", "o_c").agg(F.min("rank").alias("rank"))
+        role = F.shiftright(F.col("rank") + SPAN // 2, SPAN_BITS)
+        return best.select(F.col("s_c").alias("s"), F.col("o_c").alias("dst"), (F.col("rank") - role * F.lit(SPAN)).alias("tid"))
 
     def data(self, predicate: str) -> DataFrame:
-        return _literals(self._rows(self.kept_data, self.literals, "o is null and value is not null", predicate), self.canon)
+        return _literals(self._rows(self.kept_data, self.literals, "o is null and value is not null", self.written(predicate)), self.canon)
 
 
 def resolve_conflicts(inserted: DataFrame) -> DataFrame:
@@ -264,7 +286,7 @@ def build_graph(
     persist: bool = False,
     parts: Mapping[str, DataFrame] | None = None,
 ) -> Graph:
-    """The graph of ``quads`` (ord, s, p, o, value, lang, graph).
+    """The graph of ``quads`` (ord, s, p, o, value, lang, graph); ``ord`` lies between -2^58 and 2^58.
 
     ``masks``: the predicates that object and data triples must have (see
     ``Pathbuilder.masks``).  Mode ``reference`` tests the predicate as written and
@@ -295,7 +317,8 @@ def build_graph(
     edges = resolve_conflicts(inserted)
     narrow = None
     if persist:
-        edges, literals = materialize(edges, "edges"), materialize(literals, "data")
+        # sorted by predicate, so that a path's step reads its own row groups and pages only
+        edges, literals = (materialize(t.sortWithinPartitions("p_c", "s_c"), n) for t, n in ((edges, "edges"), (literals, "data")))
     elif known is not None and pairs is not None:
         constant = not any(isinstance(x, DataFrame) for x in (pass_o, pass_d))
         narrow = Narrow(kept_o, kept_d, used, known, pairs, *((parts, pass_o, pass_d) if constant else ()))

@@ -10,6 +10,7 @@ from quadloom.functions.terms import INVERSE_OF, RDF_TYPE, SAME_AS
 from quadloom.operators.entities import BundleTables, extract_all
 from quadloom.operators.graph import Graph, build_graph
 from quadloom.operators.lookup import Lookup
+from quadloom.plans.stages import Stages
 from quadloom.sinks import export
 from quadloom.sources.nquads import read_nquads
 from quadloom.sources.pathbuilder import Pathbuilder, find_source, load_xml
@@ -30,19 +31,25 @@ def load_graph(
     return build_graph(read_nquads(spark, path, on_bad_line), same_as, inverse_of, masks, mask_mode, type_predicate=type_predicate, persist=True)
 
 
-def load(spark: SparkSession, *source: str, **options) -> tuple[Graph, dict[str, BundleTables], Lookup]:
-    """Graph, entities by bundle, and lookup of a folder (or of a schema's and a quads' file)."""
-    nq, xml = find_source(*source)
-    pb = load_xml(xml)
-    graph = load_graph(spark, nq, pb, **options)
-    bundles = extract_all(graph, pb, persist=True)
+def load(spark: SparkSession, *source: str, stages: Stages | None = None, **options) -> tuple[Graph, dict[str, BundleTables], Lookup]:
+    """Graph, entities by bundle, and lookup of a folder (or of a schema's and a quads' file); ``stages`` notes what each stage took."""
+    stages = stages if stages is not None else Stages()
+    with stages.stage("schema") as done:
+        nq, xml = find_source(*source, spark=spark)
+        pb = load_xml(xml, spark)
+        done(bundles=sum(1 for _ in pb.walk()))
+    with stages.stage("graph"):
+        graph = load_graph(spark, nq, pb, **options)
+    with stages.stage("bundles") as done:
+        bundles = extract_all(graph, pb, persist=True)
+        done(bundles=len(bundles))
     return graph, bundles, Lookup(graph, bundles)
 
 
 def export_all(bundles: dict[str, BundleTables], target: str, path: str, shape: str = "wide", **options) -> None:
-    """All bundles to ``csv``, ``parquet``, ``sqlite``, ``json`` or ``jdbc`` (``path``: a folder, a file or a URL)."""
-    if target == "json":
-        export.to_json(bundles, path)
+    """All bundles to ``csv``, ``parquet``, ``sqlite``, ``json``, ``json-document`` or ``jdbc`` (``path``: a folder, a file or a URL)."""
+    if target in ("json", "json-document"):
+        (export.to_json if target == "json" else export.to_json_document)(bundles, path)
         return
     writers = {"csv": export.to_csv, "parquet": export.to_parquet, "sqlite": export.to_sqlite, "jdbc": export.to_jdbc}
     if target not in writers:

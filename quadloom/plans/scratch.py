@@ -1,14 +1,19 @@
 """Shared scratch tables: the way this library cuts lineage and reuses a result.
 
 Tables go below the folder the cluster names in ``spark.checkpoint.dir``; every
-executor can read them, so a lost executor costs only its running tasks.  Only
-where that setting is missing (tests, a laptop) a temporary folder is used.
+executor can read them, so a lost executor costs only its running tasks.  Only on
+a local master (tests, a laptop) a temporary folder is used where that setting is
+missing; elsewhere it is an error, as executors would write to their own disks.
 """
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _FALLBACK: dict[str, str] = {}
+_SCOPES = threading.local()
+_LOCK = threading.Lock()
+#: By session: how many writes are under way, and the setting before the first.
+_WRITING: dict[str, tuple[int, str | None]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: scratch tables need a folder that all executors share")
         if app not in _FALLBACK:
             _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         base = _FALLBACK[app]
@@ -30,24 +41,64 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path; no two calls return the same."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path; no two calls return the same.  Inside a ``scope`` it is that scope's."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if open_ := getattr(_SCOPES, "open", None):
+        open_[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a scratch table and return a reader of it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables; who reads them afterwards fails."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables that this thread made inside; results must be written elsewhere by then."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    _SCOPES.open.append([])
     try:
-        df.write.parquet(path)
+        yield
+    finally:
+        delete(spark, *_SCOPES.open.pop())
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting ``CLEAN`` is on until the last of the session's writes that overlap has ended."""
+    key = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+    with _LOCK:
+        n, before = _WRITING.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(CLEAN, None)
+            spark.conf.set(CLEAN, "true")
+        _WRITING[key] = (n + 1, before)
+    try:
+        yield
     finally:
-        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+        with _LOCK:
+            n, before = _WRITING.pop(key)
+            if n > 1:
+                _WRITING[key] = (n - 1, before)
+            elif before is not None:
+                spark.conf.set(CLEAN, before)
+            else:
+                spark.conf.unset(CLEAN)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as a scratch table (at ``path``, if given) and return a reader of it."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    with _cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this application (results that read them end too)."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    delete(spark, scratch_root(spark))

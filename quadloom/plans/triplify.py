@@ -74,18 +74,18 @@ def star_quads(spark: SparkSession, sf_dir: str, tables: Iterable[str], inverses
 
 
 def document_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents: class, literal ``length`` in the document's language, source as graph; the
+    """Documents: class, the text as a literal in the document's language, source as graph; the
     smallest id of each text is stated the same as the text's others."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     s = uri("doc", "doc_id")
     graph = F.concat(F.lit(BASE + "source/"), F.col("source"))
     ord_ = F.col("doc_id")
     kind = _rows(d, ord_, 0, s, RDF_TYPE, F.lit(BASE + "Document"), graph=graph)
-    size = _rows(d, ord_, 1, s, BASE + "length", None, F.col("n_chars"), F.col("lang"), graph)
+    text = _rows(d, ord_, 1, s, BASE + "text", None, F.col("text"), F.col("lang"), graph)
     first = d.groupBy("_digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = d.select("doc_id", "_digest").join(first, "_digest").filter("doc_id <> first")
     same = _rows(copies, ord_, 2, uri("doc", "first"), SAME, s)
-    return same.unionAll(kind).unionAll(size)
+    return same.unionAll(kind).unionAll(text)
 
 
 def _p(id: str, steps: list[str], group: str = "", datatype: str = "", is_group: bool = False) -> Path:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator
 from itertools import islice
@@ -91,6 +92,21 @@ def to_json(bundles: dict[str, BundleTables], path: str) -> None:
         nested(t).write.mode("overwrite").json(f"{path}/{name}")
 
 
+def to_json_document(bundles: dict[str, BundleTables], path: str) -> None:
+    """One JSON object in one local file: the name of each bundle with the list of its entities, sorted by uri.
+
+    Entities come to the driver one by one, not together; for large results use ``to_json``.
+    """
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        for i, (name, t) in enumerate(sorted(bundles.items())):
+            out.write(f"{', ' if i else ''}{json.dumps(name)}: [")
+            for k, r in enumerate(json_rows(t).orderBy("uri").toLocalIterator()):
+                out.write((",\n" if k else "\n") + r.json)
+            out.write("]")
+        out.write("}\n")
+
+
 def _ends(canonical: bool) -> tuple[str, str, str]:
     return ("s_subject", "s_predicate", "s_object") if canonical else ("subject", "predicate", "object")
 

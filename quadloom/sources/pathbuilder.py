@@ -12,6 +12,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from pathlib import Path as FilePath
 
+from pyspark.sql import SparkSession
+
 
 @dataclasses.dataclass
 class Path:
@@ -153,8 +155,12 @@ def loads_xml(text: str) -> Pathbuilder:
     return from_paths(paths)
 
 
-def load_xml(path: str) -> Pathbuilder:
-    return loads_xml(FilePath(path).read_text(encoding="utf-8"))
+def load_xml(path: str, spark: SparkSession | None = None) -> Pathbuilder:
+    """From a file: through Spark's readers if a session is given, which reach shared stores too; else of this machine."""
+    if spark is None:
+        return loads_xml(FilePath(path).read_text(encoding="utf-8"))
+    # one row a file: a folder that Spark wrote has one with content
+    return loads_xml("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def dumps_xml(pb: Pathbuilder) -> str:
@@ -173,20 +179,39 @@ def dumps_xml(pb: Pathbuilder) -> str:
     return ET.tostring(root, encoding="unicode")
 
 
-def find_source(*args: str) -> tuple[str, str]:
-    """(quads file, pathbuilder file): two files, pathbuilder first; or a folder with one of each."""
+def find_source(*args: str, spark: SparkSession | None = None) -> tuple[str, str]:
+    """(quads file, pathbuilder file): two files, pathbuilder first; or a folder with one of each.
+
+    With a session they are looked up in the store that their address names, where a
+    folder that Spark wrote counts as a file.
+    """
+    if len(args) not in (1, 2):
+        raise ValueError("expected a folder, or a pathbuilder file and a quads file")
     if len(args) == 2:
         xml, nq = args
         for f in (xml, nq):
-            if not FilePath(f).is_file():
+            if not _is_file(f, spark):
                 raise FileNotFoundError(f"not a regular file: {f}")
         return nq, xml
-    if len(args) != 1:
-        raise ValueError("expected a folder, or a pathbuilder file and a quads file")
     found = []
     for kind in ("nq", "xml"):
-        files = sorted(str(f) for f in FilePath(args[0]).glob(f"*.{kind}") if f.is_file())
+        files = _files(args[0], kind, spark)
         if len(files) != 1:
             raise ValueError(f"need exactly one .{kind} file in {args[0]}, got {len(files)}")
         found += files
     return found[0], found[1]
+
+
+def _is_file(path: str, spark: SparkSession | None) -> bool:
+    if spark is None:
+        return FilePath(path).is_file()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _files(folder: str, kind: str, spark: SparkSession | None) -> list[str]:
+    if spark is None:
+        return sorted(str(f) for f in FilePath(folder).glob(f"*.{kind}") if f.is_file())
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in there if f.getPath().getName().endswith(f".{kind}"))
