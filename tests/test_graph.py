@@ -161,3 +161,43 @@ def test_empty_graph(spark):
     g = build_graph(quads(spark, []), **OPTIONS)
     assert g.stats().first().asDict() == dict.fromkeys(["direct", "datum", "masked_pred", "masked_data", "inverse", "conflict"], 0)
     assert len(STATEMENTS) == 17
+
+
+@pytest.mark.parametrize("n", [200, 5000])
+def test_many_inverse_statements(spark, n):
+    """As table or as constants of the plan: the last statement of a property counts, in both directions."""
+    stated = [(i, f"p{i * 7 % (n // 2)}", "inv", f"q{i * 11 % (n // 3)}") for i in range(n)]
+    facts = [(n + i, f"s{i}", f"p{i}", f"o{i}") for i in range(n // 2)]
+    rows = [(i, s, p, o, None, "", None, "") for i, s, p, o in stated + facts]
+    g = build_graph(spark.createDataFrame(rows, SCHEMA), inverse_of=["inv"])
+    inverse = {}
+    for _, a, _, b in stated:
+        inverse[a], inverse[b] = b, a
+    got = {(r.s_c, r.p_c, r.o_c) for r in g.edges.filter("role = 1").collect()}
+    assert got == {(o, inverse[p], s) for _, s, p, o in facts if p in inverse}
+    assert {r.p: r.inv for r in g.inverse.collect()} == inverse
+
+
+def test_saved_predicates_take_many_files(spark, tmp_path):
+    rows = [(i, f"s{i}", "type", f"o{i % 3}", None, "", None, "") for i in range(2000)]
+    g = build_graph(spark.createDataFrame(rows, SCHEMA).repartition(4), inverse_of=[])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        g.save(str(tmp_path / "g"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(list((tmp_path / "g" / "edges").glob("part-*.parquet"))) > 1
+    back = Graph.load(spark, str(tmp_path / "g"))
+    assert back.edges.count() == 2000 and back.having("type", "o1").count() == 667
+
+
+def test_ranks_are_roles_before_tids(spark):
+    """Of equal edges a path sees the one that the whole graph keeps."""
+    rows = [(5, "a", "p", "b"), (3, "a", "p", "b"), (-7, "p", "inv", "q"), (-2, "b", "q", "a"), (1, "c", "q", "d")]
+    q = spark.createDataFrame([(i, s, p, o, None, "", None, "") for i, s, p, o in rows], SCHEMA)
+    g = build_graph(q, inverse_of=["inv"])
+    for p in ("p", "q"):
+        got = {(r.s, r.dst, r.tid) for r in g.step(p).collect()}
+        assert got == {(r.s_c, r.o_c, r.tid) for r in g.edges.filter(g.edges.p_c == p).collect()}
+    assert {(r.s, r.tid) for r in g.having("p", "b").collect()} == {("a", 6)}
