@@ -234,8 +234,8 @@ def encode(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarray, np
     return ids, B.per_row(count, row, len(offs) - 1)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length and ids (binary, 4 bytes each) of every document."""
+def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length and ids (binary, 4 bytes each) of every document, after the columns named in ``keep``."""
     end, full = int(end_id).to_bytes(4, "little"), 4 * max_tokens
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +251,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id:
                         piece.append(k)
                         start.append(j // 4)
                         cut.append(code[j : j + full])
-                columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, piece int, start long, length long, ids binary")
+                carried = [batch.column(c).take(pa.array(at, pa.int64())) for c in (*keep, "doc_id")]
+                columns = [*carried, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(c) // 4 for c in cut], pa.int64()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    d = pick(docs, *keep, "doc_id", "text")
+    fields = [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()))]
+    schema = T.StructType([*d.select(*keep).schema.fields, *fields])
+    return d.mapInArrow(scan, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -118,6 +118,8 @@ def test_pieces_and_places(documents, tokenizer):
         at.sort()
         assert [o for o, _ in at] == np.cumsum([0, *[n for _, n in at]])[:-1].tolist() and sum(n for _, n in at) <= 64
     assert len(rows_of) <= 1.03 * sum(g.length for g in got) / 64 + 1
+    named = packing.pieces(documents(rows), PATH, max_tokens=64, keep=("lang", "n_chars"))
+    assert named.columns == ["lang", "n_chars", *cut.columns] and sorted(map(str, named.drop("lang", "n_chars").collect())) == sorted(map(str, cut.collect()))
     # several groups, and another layout of the rows, still place everything
     a = packing.pack(cut.repartition(5).drop("ids"), max_tokens=64, group_size=40)
     assert a.count() == len(want) and a.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 64").count() == 0
