@@ -16,7 +16,8 @@ DataFrame functions only.  The plan is:
 
 Defined cases: null source is a source of its own, last in order; null or empty
 text has size 0 and takes nothing; a source without words has target 0; an
-empty table gives an empty result; repeated rows are documents of their own;
+empty table gives an empty result; repeated rows are documents of their own
+(those equal in doc_id and text are laid out in one task);
 the table of sources (a row each, not a document) passes single tasks, so there
 may be millions of sources, not billions; other columns of the input are ignored by ``plan_mix`` and kept by ``mix``
 (columns named, but for case, like a needed or an added one give way).
@@ -130,7 +131,8 @@ def plan_mix(
     d = materialize(d, "mix-sizes")
     # a null source gets a key of its own that no named source can have
     d = d.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    d = d.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    # by the whole row, so that rows of one or no doc_id are dealt too
+    d = d.withColumn("_h", F.xxhash64(F.lit(seed), "row_key_a"))
     d = d.withColumn("_range", F.shiftrightunsigned("_h", 64 - RANGES))
     inside = Window.partitionBy("_key", "_range").orderBy("_h", "row_key_a", "row_key_b").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_upto", F.sum("size").over(inside))

@@ -2,10 +2,11 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.llm import mixing
+from quadloom.llm import mixing, queries
 
 
 def words(t):
@@ -134,3 +135,23 @@ def test_odd_rows(odd, clashing, empty):
 def test_no_python_in_the_plan(odd, spark):
     plan = mixing.mix(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_whole_query_sizes_and_targets_by_sql(spark):
+    """op2 at sf0.01: sizes and sources' sizes in DuckDB, targets by rounds, and what each source takes."""
+    path = "/root/testdata/sf0.01"
+    d = duckdb.connect()
+    d.sql(f"create view documents as select * from '{path}/documents.parquet'")
+    rows = d.sql("""
+        WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents)
+        SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source)::BIGINT FROM w""").fetchall()
+    want = targets({source: total for _, source, _, total in rows})
+    got = {g.doc_id: g for g in queries.op2_sainte_lague_mix(spark, path).collect()}
+    assert len(got) == len(rows)
+    taken = dict.fromkeys(want, 0)
+    for i, source, size, total in rows:
+        g = got[i]
+        assert (g.size, g.source_size, g.source) == (size, total, source) and abs(g.target - want[source]) < 1e-6 * want[source]
+        assert 0 <= g.taken <= 2 * size
+        taken[source] += g.taken
+    assert all(abs(taken[s] - want[s]) <= 2 for s in want)
