@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -55,8 +56,6 @@ def test_language_held_out(spark, tables):
 
 def test_whole_scores_against_a_plain_noisy_or(spark, tables):
     """Every document's score from the trained weights, by regular expressions and dictionaries."""
-    import re
-
     docs, labels = tables
     model = toxicity.train(docs, labels)
     got = {g.doc_id: g for g in toxicity.toxic_sentences(docs, model).collect()}
@@ -236,3 +235,101 @@ def test_rows_of_one_doc_id_teach_their_own_language(documents):
     assert a.langs == ["aa", "bb"] and np.array_equal(a.logp, b.logp)
     got = language.languages(documents([(1, "cd ab"), (2, "xyz")]), a).collect()
     assert {g.doc_id: g.lang_pred for g in got} == {1: "aa", 2: "bb"}
+
+
+def naive_lines(text):
+    """Features, length of each line with a word, straight from their definition, by bytes."""
+    words_of = lambda raw: [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    low = lambda w: bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+    lines = [x for x in (text or "").encode().split(b"\n") if words_of(x)]
+    out = []
+    for x in lines:
+        words = words_of(x)
+        chars, n = sum(map(len, words)), len(words)
+        share = [sum(x.count(bytes([b])) for b in members) / chars for members in crf.CLASSES.values()]
+        lows = [low(w) for w in words]
+        letters = share[0] + share[1]
+        own = [*share, np.log1p(n), np.log1p(chars / n), sum(a == b for a, b in itertools.pairwise(lows)) / n, (n - len(set(lows))) / n]
+        own += [float(lines.count(x) > 1), float(share[0] > 0.5 * max(letters, 1e-9)), float(n < 3), float(share[4] > 0), min(share[3] * 10, 1)]
+        out.append((own, max(chars, 1)))
+    return out
+
+
+def test_whole_quality_scores_against_plain_chains(spark, tables):
+    """op8 at sf0.01: features, field and aggregation again, a line and a state at a time."""
+    docs, labels = tables
+    model = crf.train(docs, labels)
+    got = {g.doc_id: g.score for g in crf.score_quality(docs, model).collect()}
+    add = lambda a, b: max(a, b) + np.log1p(np.exp(-abs(a - b)))
+    for r in docs.select("doc_id", "text").collect():
+        lines = naive_lines(r.text)
+        bad = 1.0
+        if lines:
+            own = [(np.array(f) - model.mean) / model.scale for f, _ in lines]
+            none = np.zeros(crf.OWN)
+            padded = [none, *own, none]
+            emit = [model.weights @ np.r_[1.0, padded[k + 1], padded[k], padded[k + 2]] for k in range(len(own))]
+            ahead, back = [(0.0, emit[0])], [(0.0, 0.0)]
+            for e in emit[1:]:
+                a = ahead[-1]
+                ahead.append(tuple(add(a[0] + model.move[0, j], a[1] + model.move[1, j]) + j * e for j in (0, 1)))
+            for e in emit[:0:-1]:
+                b = back[-1]
+                back.append(tuple(add(b[0] + model.move[i, 0], b[1] + e + model.move[i, 1]) for i in (0, 1)))
+            p = [1 / (1 + np.exp(np.clip(a[0] + b[0] - a[1] - b[1], -700, 700))) for a, b in zip(ahead, back[::-1], strict=True)]
+            size = [n for _, n in lines]
+            bad = float(np.dot(p, size) / sum(size))
+        want = 1 / (1 + np.exp(-np.clip(model.calibration[0] + model.calibration[1] * bad, -40, 40)))
+        assert np.isclose(got[r.doc_id], want, atol=1e-6), r.doc_id
+
+
+def test_whole_languages_against_a_plain_viterbi(spark, tables):
+    """op9 at sf0.01: words, scores, spans and shares again, a letter at a time."""
+    docs, _ = tables
+    model = language.train(docs)
+    got = {g.doc_id: g for g in language.languages(docs, model).collect()}
+    _, low, script = language._tables()
+    bucket = {}
+
+    def place(a, b, c):
+        if (a, b, c) not in bucket:
+            key = np.array([a | b << 21 | c << 42], np.uint64)
+            bucket[a, b, c] = int(B.mix64(key)[0]) % language.BUCKETS
+        return bucket[a, b, c]
+
+    for r in docs.select("doc_id", "text").collect():
+        text = r.text or ""
+        words, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            if end > at:
+                words.append((at, end))
+            at = max(end, at + 1)
+        g = got[r.doc_id]
+        if not words:
+            assert (g.lang_pred, g.score, g.spans) == ("und", 0, [])
+            continue
+        best, back = None, []
+        for s, e in words:
+            x = [0, *[int(low[ord(c)]) + 1 for c in text[s:e]], 0]
+            total = model.logp[[place(*x[k : k + 3]) for k in range(e - s)]].sum(0)
+            total = np.where(model.seen[script[ord(text[s])]], total, -np.inf)
+            total = np.maximum(total - total.max(), -language.MOST)
+            if best is None:
+                best = total
+                continue
+            top = int(best.argmax())
+            moved = best[top] - model.penalty
+            back.append([k if best[k] >= moved else top for k in range(len(best))])
+            best = np.maximum(best, moved) + total
+        path = [int(best.argmax())]
+        for b in back[::-1]:
+            path.append(b[path[-1]])
+        path.reverse()
+        letters = np.bincount(path, [e - s for s, e in words], len(model.langs))
+        assert np.isclose(g.score, letters.max() / letters.sum(), atol=0.01), r.doc_id
+        if np.sort(letters)[-1] > np.sort(letters)[-2] + 30:
+            assert g.lang_pred == model.langs[int(letters.argmax())]
+        assert sum(s.end - s.start > 0 for s in g.spans) == len(g.spans)
