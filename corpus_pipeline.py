@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm import crf, exact, mixing, neardup, packing
 from quadloom.llm.queries import tokenizer_path
-from quadloom.plans.scratch import materialize
+from quadloom.plans.scratch import delete, materialize, scope, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_QUALITY = 0.5
@@ -41,8 +41,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of 4096 tokens; ids by checksum."""
-    cut = packing.pieces(docs, tokenizer_path())
+    """Pieces of documents with their place in sequences of 4096 tokens; ids by checksum.
+
+    ``row`` tells the rows of one document apart, of which the mix may make several.
+    """
+    cut = packing.pieces(docs.withColumn("row", F.monotonically_increasing_id()), tokenizer_path(), keep=("row",))
     cut = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack(cut)
 
@@ -60,8 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each one's result written and read again.
+
+    A stage's scratch tables go when its result is written, its result when the next one's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name = name.replace(" ", "-")
+        path = scratch_path(spark, name)
+        with scope(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
