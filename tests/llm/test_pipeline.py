@@ -1,9 +1,11 @@
+import os
 
 import pytest
 
 import corpus_pipeline
 from quadloom.llm import crf, exact, mixing, neardup, packing
 from quadloom.llm.queries import tokenizer_path
+from quadloom.plans.scratch import release, scratch_root
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,9 +22,14 @@ def test_stages(spark):
         counts.append(out.count())
         docs = out
     assert before > counts[0] > counts[1] >= counts[2] > 0
+    spark.catalog.clearCache()
+    release(spark)
     last = corpus_pipeline.run(spark, SF).collect()
-    assert last and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(last[0].asDict())
-    assert sum(p.piece == 0 for p in last) == counts[3]
+    assert last and {"row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(last[0].asDict())
+    assert sum(p.piece == 0 for p in last) == counts[3] and len({(p.row, p.piece) for p in last}) == len(last)
+    # of all its scratch tables only the result is left
+    left = os.listdir(scratch_root(spark).removeprefix("file://"))
+    assert len(left) == 1 and left[0].startswith("packing-")
 
 
 def test_stages_by_brute_force(spark):
