@@ -425,22 +425,36 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     filled = rows.filter("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("regs").alias("regs"))
     # the numbers stay what they are once they are written
-    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = materialize(reps.withColumn("_number", F.monotonically_increasing_id()), "classes")
+    # a class is called by its smallest doc_id, unless some doc_id is that of several classes
+    plain = reps.groupBy("low").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    reps = reps.withColumn("rep", F.col("low" if plain else "_number")).drop("_number")
     members = shared_bands(bands(reps))
     wanted = members.select("rep").distinct().join(reps.select("rep", F.col("low").alias("doc_id"), "sig_a", "sig_b"), "rep")
     sets = materialize(shingle_sets(d.join(wanted, "doc_id"), k), "sets").dropDuplicates(["rep"])
     links = materialize(verified(star_candidates(members, reps, threshold), sets, percent).select("a", "b"), "links")
     first = materialize(connected_components(links), "components")
+    classes = reps.drop("regs").join(first, F.col("rep") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "rep")).drop("node", "component")
     across = materialize(cross_candidates(members, reps, first, threshold), "across")
-    likely = across.select(F.col("rep").alias("a"), F.col("partner").alias("b"))
-    near = materialize(verified(likely, sets, percent).select("a", "b"), "links")
-    rest = across.join(near.toDF("rep", "partner"), ["rep", "partner"], "left_anti").select("rep", "component")
-    more = materialize(cross_links(materialize(rest, "unlinked"), first, sets, percent), "links")
-    component = connected_components(links.unionAll(near).unionAll(more))
-    classes = reps.drop("regs").join(component, F.col("rep") == F.col("node"), "left").withColumn("_part", F.coalesce("component", "rep"))
-    classes = materialize(classes.select("sig_a", "sig_b", "n_shingles", "low", "_part"), "parts")
-    lowest = classes.groupBy("_part").agg(F.min("low").alias("component_id"))
-    classes = classes.drop("low").join(lowest, "_part").drop("_part")
+    if not across.isEmpty():
+        likely = across.select(F.col("rep").alias("a"), F.col("partner").alias("b"))
+        more = materialize(verified(likely, sets, percent).select("a", "b"), "links")
+        rest = across.join(more.toDF("rep", "partner"), ["rep", "partner"], "left_anti").select("rep", "component")
+        rest = materialize(rest, "unlinked")
+        if not rest.isEmpty():
+            more = more.unionAll(materialize(cross_links(rest, first, sets, percent), "links"))
+        # the links between components join these; what is inside them is known
+        named = first.toDF("_node", "_component")
+        for end in ("a", "b"):
+            more = more.join(named, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_component", end)).drop("_node", "_component")
+        joined = connected_components(more).toDF("_node", "_whole")
+        classes = classes.join(joined, F.col("_part") == F.col("_node"), "left").withColumn("_part", F.coalesce("_whole", "_part")).drop("_node", "_whole")
+    if plain:
+        classes = classes.withColumn("component_id", F.col("_part"))
+    else:
+        classes = materialize(classes, "parts")
+        classes = classes.join(classes.groupBy("_part").agg(F.min("low").alias("component_id")), "_part")
+    classes = classes.select("sig_a", "sig_b", "n_shingles", "component_id")
     linked = filled.drop("regs").join(classes, ["sig_a", "sig_b", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
