@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if _is_forest_of_stars(links):
             break
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _stars(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = _stars(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = _stars(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
