@@ -34,7 +34,7 @@ def _graph(spark: SparkSession, sf_dir: str, *tables: str, **options) -> Graph:
 def _customers(spark: SparkSession, sf_dir: str, **options) -> tuple[Graph, entities.BundleTables]:
     pb = customer_schema()
     # the mask as a user would set it: both directions of the inverse
-    g = _graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER, masks=pb.masks(RDF_TYPE), mask_mode="closed", persist=True, **options)
+    g = _graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER, masks=pb.masks(RDF_TYPE), mask_mode="closed", **options)
     return g, entities.extract(g, pb.bundle("customer"), persist=True)
 
 
@@ -185,7 +185,7 @@ def entity_turtle(spark, sf_dir):
 
 def entity_json(spark, sf_dir):
     pb = customer_schema()
-    t = entities.extract(_graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER, persist=True), pb.bundle("customer"), persist=True)
+    t = entities.extract(_graph(spark, sf_dir, "nation", "customer", "orders", inverses=HAS_ORDER), pb.bundle("customer"), persist=True)
     j = export.json_rows(t)
     # read back by its own schema
     value = "array<struct<value:string,lang:string,path:array<string>,tids:array<bigint>>>"
