@@ -39,3 +39,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_html_links_odd_pages(spark, tmp_path):
+    link = '<a href="/x?a=1&amp;b=2">y</a><br>'
+    odd = ["<title>a &am</title>", "a &amp<b>c &lt d</b>", "&#12 &#x1F z", "&# a; &# b; ", "<?pi x?><![CDATA[ & ]]><![if x]>", "<p title=\"it's\" class=x></P >", "&"]
+    pages = [(i, None if t is None else t + link + t) for i, t in enumerate([*odd, "", None])]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.html for r in QUERIES["html_links"](spark, str(tmp_path)).collect()}
+    assert got == dict(c.execute(ORACLES["html_links"]).fetchall()) and len(got) == len(pages)

@@ -111,3 +111,31 @@ def test_links(spark):
     assert [r[0] for r in df.select(replace_links_column(df.html, str.upper)).collect()][1] is None
     urls = spark.createDataFrame([("http://h/base/a?q#f",), ("http://other/base",), (None,)], "u string")
     assert [r[0] for r in urls.select(local_url(urls.u, ["http://h/base"])).collect()] == ["/base/a?q#f", "http://other/base", None]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "<title>a &am</title>b &amp<p>&c d&#12 &#x1F z&amp;</p> &lt",
+        "R&# a; &# b; ",
+        '<?xml version="1.0"?><![CDATA[ a & b ]]><![if x]><![y[z]]></P ></>',
+        """<p title="it's" class=x hidden  lang='&eacute;'>1 < 2 <3""",
+        "<!-- <br> &am --><!--><script>'<a href=\"/n\">' &am</script>",
+        "<p title='x>",
+    ],
+)
+def test_links_leave_the_rest(text):
+    link = '<a href="%s/x?a=1&amp;b=2">'
+    assert replace_links(text + link % "", lambda u: "h" + u) == text + link % "h"
+
+
+def test_links_forms():
+    for before, after in [
+        ("<A  HREF = '/x\"y' title=z>", '<a  href="h/x&quot;y" title=z>'),
+        ('<a href="/x?a=1&copy=2&b" href="/y">', '<a href="h/x?a=1&copy=2&b" href="/y">'),
+        ("<img alt='>' src=/x/>", '<img alt=\'>\' src="h/x/" />'),
+        ("<img src=/x width=5><hr noshade><br /><input>", '<img src="h/x" width=5 /><hr noshade/><br /><input/>'),
+        ("<script>'<a href=\"/x\">' &am", "<script>'<a href=\"/x\">' &am"),
+        ('a &am <a href="/x', 'a &am <a href="/x'),
+    ]:
+        assert replace_links(before, lambda u: "h" + u) == after
